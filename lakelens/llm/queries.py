@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import leakage, packing, splitting
+from lakelens.llm import leakage, near_duplicates, neighbours, packing, splitting
 from lakelens.session import stage_table
 from lakelens.tables import load
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_rows(load(spark, folder, "chunks"), stage_table)
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups(load(spark, folder, "chunks"), stage_table)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(load(spark, folder, "chunks"), stage_table)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     pieces = splitting.split_oversized(load(spark, folder, "chunks"))
     return pieces.where("piece_no = 0").select("chunk_pos", "cut")
@@ -27,11 +39,33 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of 12 words with up to two character edits."""
-    return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=2)
+    """Passages of 12 words with up to one character edit."""
+    return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
+
 
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near}
 
-QUERIES = {"p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near}
+P2_FOUND = r"""
+WITH w AS (SELECT chunk_pos, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT chunk_pos, w[p.k] || ' ' || w[p.k + 1] || ' ' || w[p.k + 2] AS g
+  FROM w, range(1, len(w) - 1) AS p(k) WHERE len(w) >= 20),
+n AS (SELECT chunk_pos, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.chunk_pos AS a, b.chunk_pos AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chunk_pos < b.chunk_pos GROUP BY ALL)
+SELECT a AS chunk_pos_a, b AS chunk_pos_b FROM c JOIN n x ON x.chunk_pos = a JOIN n y ON y.chunk_pos = b
+WHERE c >= 0.6::DOUBLE * (x.n + y.n - c) - 1e-9
+"""
+
+P5_FOUND = r"""
+WITH v AS (
+  SELECT chunk_pos, vector::DOUBLE[64] AS v FROM chunks
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT a.chunk_pos AS p, b.chunk_pos AS o
+  FROM v a JOIN v b ON a.chunk_pos <> b.chunk_pos AND array_cosine_similarity(a.v, b.v) >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY a.chunk_pos ORDER BY round(array_cosine_similarity(a.v, b.v), 6) DESC, b.chunk_pos) <= 5)
+SELECT DISTINCT least(p, o) AS chunk_pos_a, greatest(p, o) AS chunk_pos_b FROM near
+"""
 
 P7_FOUND = r"""
 SELECT chunk_pos,
@@ -49,4 +83,4 @@ dg AS (SELECT doc_id, array_to_string(w[p.k:p.k + 11], ' ') AS g FROM d, range(1
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
-ORACLES = {"p7_found": P7_FOUND, "p9_found": P9_FOUND}
+ORACLES = {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
