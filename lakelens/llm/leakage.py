@@ -156,12 +156,16 @@ def _search(index: ItemIndex, texts: list[str], min_words: int, edits: int) -> I
     if not len(at):
         return
     band = bands(at - place - starts[row], edits)
-    ways = len(band)
-    keys = np.stack([np.tile(row, ways), np.tile(item, ways), band.ravel()])
-    keys = keys[:, np.lexsort(keys[::-1])]
-    fresh = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-    counts = np.diff(np.r_[fresh, keys.shape[1]])
-    kept = keys[:, fresh]
+    # (row, item, band) as one number, so that one sort groups them
+    low, n_items = int(band.min()), len(index.ids)
+    n_bands = int(band.max()) - low + 1
+    if len(texts) * n_items * n_bands >= 2**63:
+        raise OverflowError("a slice of texts is too long for its items")
+    keys = np.sort(((row * n_items + item) * n_bands + (band - low)).ravel())
+    fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = np.diff(np.r_[fresh, len(keys)])
+    group, kept_band = np.divmod(keys[fresh], n_bands)
+    kept = np.stack([*np.divmod(group, n_items), kept_band + low])
     kept = kept[:, counts >= index.least[kept[1]]].T.tolist()
     found: dict[tuple[int, int], tuple] = {}
     if edits == 0:
