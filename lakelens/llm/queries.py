@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import leakage, near_duplicates, neighbours, packing, secrets, splitting
+from lakelens.llm import generated, leakage, near_duplicates, neighbours, packing, secrets, splitting
 from lakelens.session import stage_table
 from lakelens.tables import load
 
@@ -17,6 +17,10 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(load(spark, folder, "chunks"), stage_table)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return generated.judged(load(spark, folder, "chunks"), stage_table).where("found").select("project_id", "ref", "path")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(load(spark, folder, "chunks"), stage_table)
 
@@ -51,7 +55,7 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near}
 
 P2_FOUND = r"""
 WITH w AS (SELECT chunk_pos, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks WHERE text IS NOT NULL),
