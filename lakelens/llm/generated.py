@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Labelled files of either class the forest is fitted on, at most.
 SAMPLE = 8_000
 TREES, TREE_DEPTH, CHANCE = 40, 8, 0.5
-HEADER_LINES = 25  # notices count in comments that begin within so many lines of the file
+HEADER_LINES, PIECE_LINES = 25, 8  # notices count in comments among so many first lines of the file, and of every piece
 
 # fixed values: places for third-party code, and names of tool output
 _PLACE = re.compile(
@@ -84,8 +84,8 @@ def notices(text: str, start_line: int, project: str) -> tuple[bool, bool, bool]
     """(notice of a tool, notice of a foreign origin, notice of the own project) in the comments at the file's top."""
     own_name = re.sub(r"\.git$", "", project.rstrip("/")).split("/")[-1].lower()
     tool = foreign = own = False
-    room = HEADER_LINES - start_line + 1
-    if room <= 0:
+    room = max(HEADER_LINES - start_line + 1, PIECE_LINES)
+    if not text:
         return False, False, False
     if _BUILT.search(text[:400]):
         tool = True
