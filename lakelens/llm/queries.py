@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.llm import generated, leakage, near_duplicates, neighbours, packing, secrets, splitting
+from lakelens.llm import generated, leakage, near_duplicates, neighbours, packing, residue, secrets, splitting
 from lakelens.session import stage_table
 from lakelens.tables import load
 
@@ -55,7 +55,16 @@ def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(load(spark, folder, "documents"), stage_table).select("doc_id")
+
+
+def p10_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The residue of every such document, with the width of its widest message."""
+    return residue.residue(load(spark, folder, "documents"), stage_table)
+
+
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_messages": p10_messages}
 
 P2_FOUND = r"""
 WITH w AS (SELECT chunk_pos, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks WHERE text IS NOT NULL),
