@@ -187,8 +187,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, edits: in
     the lemma then needs passages of more than ``Q * (edits + 1)`` characters to be sure. Result: one row per (document
     row, item) with the longest passage: place in the normalised text, words of the item in it, edits.
 
-    Map-only over the corpus, so hot sources and repeated texts cost nothing extra; each repeated row counts. NULL and
-    empty texts match nothing; texts of any length are searched whole. Items are shipped in blocks of at most
+    Map-only over the corpus, so hot sources and repeated texts cost nothing extra; each repeated row counts. NULL ids, NULL
+    and empty texts match nothing; texts of any length are searched whole. Items are shipped in blocks of at most
     ``BLOCK_CHARS`` characters (their sum is measured first); each block is one pass over the corpus.
     """
     if 2 * min_words + 1 < Q:
@@ -198,7 +198,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, edits: in
     )
     total = normal_items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_CHARS))
-    corpus = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words_joined(F.col("text")).alias("t"))
+    corpus = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words_joined(F.col("text")).alias("t"))
 
     def one_block(b: int) -> DataFrame:
         mine = normal_items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else normal_items

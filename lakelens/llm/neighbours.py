@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def usable_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk_pos, vector) to (pos, vec as float32 bytes) of the usable vectors."""
     for batch in batches:
         vectors, pos = batch.column(1), batch.column(0)
-        ok = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(vectors), DIM), False)) & np.asarray(pos.is_valid())
+        ok = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(vectors), DIM), False)) & np.asarray(pos.is_valid())
         kept = vectors.filter(pa.array(ok))
         matrix = np.asarray(kept.flatten().fill_null(float("nan")), np.float32).reshape(-1, DIM)
         good = np.isfinite(matrix).all(axis=1) & (matrix != 0).any(axis=1)
@@ -230,7 +231,7 @@ def similar_pairs(chunks: DataFrame, stage: Callable[[DataFrame, str], DataFrame
     adds k pairs for each member. Ties go to the smaller position. Result: chunk_pos_a < chunk_pos_b.
     """
     key = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("second"), "vec").alias("h2")]
-    rows = chunks.select("chunk_pos", "vector").mapInArrow(usable_rows, _ROW).select("pos", "vec", *key)
+    rows = chunks.select("chunk_pos", F.col("vector").cast("array<float>").alias("vector")).mapInArrow(usable_rows, _ROW).select("pos", "vec", *key)
     by_class = "PARTITION BY h1, h2 ORDER BY pos"
     heads = stage(
         rows.withColumn("rn", F.expr(f"row_number() OVER ({by_class})"))

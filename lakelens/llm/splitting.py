@@ -158,7 +158,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST) -
     chunks: chunk_pos, text, start_line, end_line, symbol. Every piece is within the limit; consecutive pieces share two
     whole lines (fewer only where two do not fit), or 40 characters inside a line that had to be cut. ``cut`` is
     ``inside_line`` where some line is over the limit by itself, else ``whole_lines``. Lines are split at ``\\n``, so CRLF
-    survives. A NULL start line counts as 1; NULL symbol stays NULL; NULL and small texts give no rows; repeated rows give
+    survives. A NULL start line counts as 1; NULL symbol stays NULL; NULL keys, NULL and small texts give no rows; repeated rows give
     their pieces each. Map-only.
     """
 
@@ -177,7 +177,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, least: int = LEAST) -
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"symbol": object})
 
-    wanted = chunks.where(F.length("text") > limit).select(
+    wanted = chunks.where(F.col("chunk_pos").isNotNull() & (F.length("text") > limit)).select(
         F.col("chunk_pos").cast("long").alias("chunk_pos"), "text", F.coalesce(F.col("start_line"), F.lit(1)).cast("int").alias("start_line"), "symbol"
     )
     return wanted.mapInPandas(pieces, PIECES)
