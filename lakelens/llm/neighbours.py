@@ -73,10 +73,9 @@ def fit_cells(unit: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _weights() -> tuple[float, float]:
-    """Loss weights of the parallel and the orthogonal error for inner products at or above 0.2."""
-    t = 0.2
-    return (DIM - 1) * t * t / (1 - t * t), 1.0
+def _weights(threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Loss weights of the parallel and the orthogonal error: those with which each enters the bound at the threshold."""
+    return 1 / (1 - threshold * threshold), 1.0
 
 
 def encode(x: np.ndarray, residual: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
