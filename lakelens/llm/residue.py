@@ -30,7 +30,7 @@ _QUOTED = "\x01"  # stands for quoted code
 # fixed values: placeholder forms of template languages and forms for people to fill in
 _FIELD = re.compile(
     r"\{\{\{?\s*[\w .|-]{1,60}\}?\}\}|\{%-?\s*[\w .=\"'-]{1,60}-?%\}|<%[=-]?\s*[\w .()-]{1,60}%>|\$\{\s*[A-Za-z_][\w .-]{0,60}\}|\[\[\s*[a-z][a-z0-9_ -]{1,60}\]\](?!\()|@@[A-Za-z][\w-]{1,60}@@|%\([a-z_]\w{0,60}\)[sd]"
-    r"|%%[A-Z][A-Z_]{2,60}%%|__[A-Z][A-Z_]{3,60}__|#\{[a-z_]\w{1,60}\}|<[A-Z][A-Z0-9]*(?:[ _-][A-Z0-9]+)*>|\[[A-Z]{3,}(?:[ _][A-Z]{2,})*\](?!\()"
+    r"|%%[A-Z][A-Z_]{2,60}%%|__[A-Z][A-Z_]{3,60}__|#\{[a-z_]\w{1,60}\}|(?<!\w)<[A-Z][A-Z0-9]{2,}(?:[ _-][A-Z0-9]+)*>|\[[A-Z]{3,}(?:[ _][A-Z]{2,})*\](?!\()"
 )
 _PROMPT = re.compile(
     r"(?i)[<\[(]\s*(?:your|insert|enter|add|fill in|replace|put|choose|type|todo:? (?:your|insert|fill)|e\.g\. your)\b[^<>\[\]()\n]{0,80}[>\])](?!\()|[<\[(]\s*[\w -]{2,50} (?:goes|go) here\s*[>\])]"
