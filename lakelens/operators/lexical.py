@@ -65,8 +65,13 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame
 
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The k best chunks of every query with rank from 0, ties by path, start line and position."""
-    named = scores.join(chunks.select("chunk_pos", "path", "start_line", "end_line"), "chunk_pos").withColumn("score", F.round("score", digits))
+    """The k best chunks of every query with rank from 0, ties by path, start line and position.
+
+    Scores alone are cut to the k best, ties kept, before chunk columns are joined to them.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    head = scores.withColumn("score", F.round("score", digits)).withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k).drop("_r")
+    named = head.join(chunks.select("chunk_pos", "path", "start_line", "end_line"), "chunk_pos")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "chunk_pos")
     return named.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
@@ -74,12 +79,26 @@ def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
 def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     """Index and search in one plan; ``keep`` filters chunks after scoring, as a key filter does."""
     scores = bm25(build_postings(chunks), doc_stats(chunks), queries)
-    return top_chunks(scores, chunks if keep is None else chunks.where(keep), k)
+    if keep is not None:
+        chunks = chunks.where(keep)
+        scores = scores.join(chunks.select("chunk_pos"), "chunk_pos", "left_semi")
+    return top_chunks(scores, chunks, k)
 
 
-def like_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Fall-back without an index: chunks whose lower-cased text holds a query's first term, score 1; ``_`` matches any character."""
+def like_search(chunks: DataFrame, queries: DataFrame, k: int, block: int = 500) -> DataFrame:
+    """Fall-back without an index: chunks whose lower-cased text holds a query's first term, score 1; ``_`` matches any character.
+
+    The distinct terms are sent in blocks of ``block``, each one pass over the chunks without a join; hits then meet
+    their queries by term.
+    """
     first = queries.select("query_id", F.element_at(T.query_terms(F.col("query")), 1).alias("term")).where("term IS NOT NULL")
-    hits = chunks.join(F.broadcast(first), F.expr("lower(text) LIKE concat('%', term, '%')"))
+    terms = [r.term for r in first.select("term").distinct().orderBy("term").toLocalIterator()]
+    slim = chunks.select("chunk_pos", "path", "start_line", "end_line", F.lower("text").alias("low"))
+    out = slim.select("chunk_pos", "path", "start_line", "end_line", F.lit("").alias("term")).limit(0)
+    for a in range(0, len(terms), block):
+        held = slim.withColumn("terms", F.array(*map(F.lit, terms[a : a + block])))
+        found = F.explode(F.expr("filter(terms, t -> low LIKE concat('%', t, '%'))"))
+        out = out.unionByName(held.select("chunk_pos", "path", "start_line", "end_line", found.alias("term")))
     order = Window.partitionBy("query_id").orderBy("path", "start_line", "chunk_pos")
-    return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "chunk_pos", "path", "start_line", "end_line", F.lit(1.0).alias("score"), "rank")
+    hits = out.join(first, "term").withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return hits.select("query_id", "chunk_pos", "path", "start_line", "end_line", F.lit(1.0).alias("score"), "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +18,9 @@ SETTINGS = {
 }
 
 
+_folders: set[str] = set()
+
+
 def local_session(cores: int = 8, app: str = "lakelens", **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -42,17 +47,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    folder = f"{shared_folder(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+    local = folder.removeprefix("file://")
+    if folder not in _folders and local.startswith("/"):
+        _folders.add(folder)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return folder
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back.
 
-    The files outlive any executor, so a lost executor costs a re-read, not a recomputation.
+    The files outlive any executor, so a lost executor costs a re-read, not a recomputation. They lie in one folder per
+    application, which goes when the driver ends (:func:`drop_stages` removes it earlier, and on other file systems).
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    path = f"{_stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def target_partitions(spark: SparkSession, least: int = 1) -> int:
-    """Shuffle partitions of the session, at least ``least``."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
