@@ -30,7 +30,7 @@ _QUOTED = "\x01"  # stands for quoted code
 # fixed values: placeholder forms of template languages and forms for people to fill in
 _FIELD = re.compile(
     r"\{\{\{?\s*[\w .|-]{1,60}\}?\}\}|\{%-?\s*[\w .=\"'-]{1,60}-?%\}|<%[=-]?\s*[\w .()-]{1,60}%>|\$\{\s*[A-Za-z_][\w .-]{0,60}\}|\[\[\s*[a-z][a-z0-9_ -]{1,60}\]\](?!\()|@@[A-Za-z][\w-]{1,60}@@|%\([a-z_]\w{0,60}\)[sd]"
-    r"|%%[A-Z][A-Z_]{2,60}%%|__[A-Z][A-Z_]{3,60}__|#\{[a-z_]\w{1,60}\}|(?<!\w)<[A-Z][A-Z0-9]{2,}(?:[ _-][A-Z0-9]+)*>|\[[A-Z]{3,}(?:[ _][A-Z]{2,})*\](?!\()"
+    r"|%%[A-Z][A-Z_]{2,60}%%|__[A-Z][A-Z_]{3,60}__|#\{[a-z_]\w{1,60}\}|(?<!\w)<(?:[A-Z][A-Z0-9]{2,}|[A-Z][A-Z0-9]+[ _-][A-Z0-9]+)(?:[ _-][A-Z0-9]+)*>|\[[A-Z]{3,}(?:[ _][A-Z]{2,})*\](?!\()"
 )
 _PROMPT = re.compile(
     r"(?i)[<\[(]\s*(?:your|insert|enter|add|fill in|replace|put|choose|type|todo:? (?:your|insert|fill)|e\.g\. your)\b[^<>\[\]()\n]{0,80}[>\])](?!\()|[<\[(]\s*[\w -]{2,50} (?:goes|go) here\s*[>\])]"
@@ -41,7 +41,7 @@ _BLANKS = re.compile(
     r"(?i)^\W*(?:write|describe|enter|insert|add|put|provide|type) (?:a |an |the |your )?[\w ,'-]{2,70} here\W*$|^\W*describe what you (?:expected|did|saw)[\w ]*\W*$|^\W*(?:\d+[.)] )?(?:first|second|third|next) step\W*$|^\W*(?:\[ ?\] ?)?item (?:one|two|three|\d)\W*$"
     r"|^\W*(?:a clear and concise description of|please (?:fill (?:in|out)|replace|delete) (?:this|the)) [^\n]{3,120}$|^\W*(?:click|tap) (?:here )?to (?:add|edit|enter) (?:text|title|content|subtitle)\b"
 )
-_FILLER = re.compile(r"(?i)\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur adipis|^\W*(?:this is )?(?:placeholder|dummy|filler|sample|blind) ?text\W*$|\b(\w{3,12})(?:[ ,.]+\1\b){4,}|\bthe quick brown fox jumps over\b|\b(?:asdf|qwerty|blah|foo bar baz)(?:[ ,]+\w*){0,1}[ ,]+(?:asdf|qwerty|blah)\b")
+_FILLER = re.compile(r"(?i)\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur adipis|^\W*(?:this is (?:a |an |some )?)?(?:placeholder|dummy|filler|sample|blind|example)[ -]?(?:text|paragraph|content|copy|sentence|heading|headline|title)(?: (?:number|no\.?|nr\.?)? ?\d+)?\W*$|\b(\w{3,12})(?:[ ,.]+\1\b){4,}|\bthe quick brown fox jumps over\b|\b(?:asdf|qwerty|blah|foo bar baz)(?:[ ,]+\w*){0,1}[ ,]+(?:asdf|qwerty|blah)\b")
 _STATUS = r"(?:400 bad request|401 unauthori[sz]ed|402 payment required|403 forbidden|404 (?:page )?not found|405 method not allowed|408 request time-?out|410 gone|413 (?:payload|content|request entity) too large|418 i'm a teapot|429 too many requests|451 unavailable for legal reasons|500 internal server error|501 not implemented|502 bad gateway|503 service (?:temporarily )?unavailable|504 gateway time-?out|520 [\w ]*error|522 connection timed out|524 a timeout occurred)"
 # fixed values: wordings of servers and viewers, by kind
 _SERVER = re.compile(

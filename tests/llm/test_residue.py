@@ -13,7 +13,7 @@ def kinds(text):
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        ("# {{ title }}", "template"), ("Owner is [[module]].", "template"), ("Release ${summary}", "template"), ("<TEAM NAME>", "template"), ("Contact the [INSERT LICENSE HERE] team.", "template"), ("- step one: %(description)s", "template"),
+        ("# {{ title }}", "template"), ("Owner is [[module]].", "template"), ("Release ${summary}", "template"), ("<TEAM NAME>", "template"), ("Dear <ON CALL>,", "template"), ("Placeholder paragraph number 4.", "filler"), ("Contact the [INSERT LICENSE HERE] team.", "template"), ("- step one: %(description)s", "template"),
         ("(describe the change)", "template"), ("[Explain the problem in two or three sentences]", "template"), ("Write a short summary of the change here.", "template"), ("<your due date here>", "template"), ("@@VERSION@@", "template"),
         ("Lorem ipsum dolor sit amet", "filler"), ("Text text text text text text.", "filler"), ("Your content goes here. Your content goes here.", "template"),
         ("<html><head><title>429 Too Many Requests</title></head></html>", "error"), ('{"message": "503 Service Unavailable", "request": "a4"}', "error"), ("Page introuvable (erreur 504). Référence 06467b93", "error"), ("504 Gateway Timeout", "error"),
