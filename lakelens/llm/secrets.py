@@ -73,10 +73,12 @@ def stands_in(value: str) -> bool:
 
 
 def looks_random(value: str, least: int = 8) -> bool:
-    """Digits and letters, with upper and lower case, a symbol or a run of digits among them."""
-    if len(value) < least or not re.search(r"\d", value) or not re.search(r"[A-Za-z]", value):
+    """Letters with digits or symbols, and upper and lower case, a symbol or a run of digits among them."""
+    if len(value) < least or not re.search(r"[A-Za-z]", value):
         return False
     mixed = re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)
+    if not re.search(r"\d", value):
+        return bool(mixed and re.search(r"[A-Za-z][!@#$%^&*~+][A-Za-z]", value))
     return bool(mixed or re.search(r"[!@#$%^&*~+=]", value) or re.search(r"\d{2,}", value))
 
 
@@ -94,7 +96,7 @@ def _kind(name: str) -> str:
     return ""
 
 
-def _fits(kind: str, value: str, quoted: bool) -> bool:
+def _fits(kind: str, value: str) -> bool:
     if stands_in(value) or len(value) < 6 or re.search(r"\s", value):
         return False
     if "://" in value or "(" in value and ")" in value or value.startswith("-----"):
@@ -103,7 +105,7 @@ def _fits(kind: str, value: str, quoted: bool) -> bool:
         if re.search(r"\d", value):
             return bool(re.search(r"[A-Za-z]", value)) or len(value) >= 8
         odd = re.search(r"[!@#$%^&*~+]", value) and re.search(r"[A-Za-z]", value)
-        return bool(odd or quoted and re.search(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2}[a-z]", value) and not re.search(r"[_.-]", value) and len(value) >= 8)
+        return bool(odd or re.search(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2}[a-z]", value) and not re.search(r"[_.-]", value) and len(value) >= 8)
     if len(value) < 12 or re.fullmatch(r"[\d.,:-]+", value):
         return False
     if re.fullmatch(r"[0-9a-f]{24,}|[0-9A-F]{24,}", value):
@@ -126,7 +128,7 @@ def _named(text: str, config: bool) -> Iterator[Hit]:
         q = re.compile(r"(?:[frbu]{1,2})?(\\?[\"'`])").match(text, at)
         if q:
             end = text.find(q[1], q.end())
-            if end > q.end() and "\n" not in text[q.end() : end] and _fits(kind, text[q.end() : end], True):
+            if end > q.end() and "\n" not in text[q.end() : end] and _fits(kind, text[q.end() : end]):
                 yield Hit(q.end(), end, "named")
             continue
         if m[1].strip() == ",":
@@ -134,7 +136,7 @@ def _named(text: str, config: bool) -> Iterator[Hit]:
         line = text.rfind("\n", 0, a) + 1
         if config or _COMMENT.match(text[line:a]):
             v = re.compile(r"[^\s\"'`,;)}\]<>|]+").match(text, at)
-            if v and _fits(kind, v[0], False) and (config or looks_random(v[0])):
+            if v and _fits(kind, v[0]) and (config or looks_random(v[0])):
                 yield Hit(v.start(), v.end(), "named")
 
 
