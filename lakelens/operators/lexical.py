@@ -10,13 +10,18 @@ from lakelens.functions import text as T
 K1, B = 1.2, 0.75
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_pos, field, positions): field 0 is the text, 1 the symbol. A row per term of a chunk's field."""
+def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_pos, field, positions): field 0 is the text, 1 the symbol. A row per term of a chunk's field.
+
+    ``only`` (term) restricts the postings to given terms before anything is shuffled.
+    """
     fields = chunks.select(
         "chunk_pos",
         F.posexplode(F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("field", "tokens"),
     )
     each = fields.select("chunk_pos", "field", F.posexplode("tokens").alias("pos", "term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
     return each.groupBy("term", "chunk_pos", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -77,8 +82,9 @@ def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """Index and search in one plan; ``keep`` filters chunks after scoring, as a key filter does."""
-    scores = bm25(build_postings(chunks), doc_stats(chunks), queries)
+    """Search without a stored index: only postings of the queries' terms are built. ``keep`` filters chunks after scoring, as a key filter does."""
+    asked = query_phrases(queries).select(F.explode(F.split("phrase", " ")).alias("term"))
+    scores = bm25(build_postings(chunks, asked), doc_stats(chunks), queries)
     if keep is not None:
         chunks = chunks.where(keep)
         scores = scores.join(chunks.select("chunk_pos"), "chunk_pos", "left_semi")
