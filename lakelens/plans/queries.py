@@ -11,7 +11,7 @@ from lakelens.config import Settings
 from lakelens.functions import text as T
 from lakelens.operators import catalog, chunking, embedding, evaluation, fusion, gate, lexical, nested_flatten, snapshot_diff, vector
 from lakelens.sources import directory, fetch
-from lakelens.tables import load
+from lakelens.tables import load, load_spread
 
 K = 10
 
@@ -34,7 +34,7 @@ def p4_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as source files."""
-    d = load(spark, folder, "documents")
+    d = load_spread(spark, folder, "documents")
     return d.select("doc_id", F.col("source").alias("project_id"), F.lit("HEAD").alias("ref"), F.coalesce("path", F.format_string("doc/%d.txt", "doc_id")).alias("path"), "text")
 
 
@@ -162,7 +162,7 @@ def query_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = load(spark, folder, "chunks")
+    chunks = load_spread(spark, folder, "chunks")
     sizes = lexical.doc_stats(chunks).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
     terms = chunks.select(F.explode(F.concat(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
     return sizes.crossJoin(terms)
@@ -181,7 +181,7 @@ def render_snippet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    return lexical.search(load(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), k)
+    return lexical.search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), k)
 
 
 def _flat(ranked: DataFrame) -> DataFrame:
@@ -195,22 +195,22 @@ def lexical_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
 def lexical_phrase(spark: SparkSession, folder: str) -> DataFrame:
     """Identifiers with ``_`` as queries: a phrase, and its parts."""
     asked = spark.createDataFrame([(1, "anchor_token"), (2, "the index_span of __init__"), (3, "refresh_token nested_volume")], "query_id int, query string")
-    return _flat(lexical.search(load(spark, folder, "chunks"), asked, K))
+    return _flat(lexical.search(load_spread(spark, folder, "chunks"), asked, K))
 
 
 def lexical_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics over everything, results of one index."""
     keep = (F.col("project_id") == "meridian/atlas-core") & (F.col("ref") == "HEAD")
-    return _flat(lexical.search(load(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K, keep))
+    return _flat(lexical.search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K, keep))
 
 
 def lexical_like(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(lexical.like_search(load(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K))
+    return _flat(lexical.like_search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K))
 
 
 def symbol_lookup(spark: SparkSession, folder: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "InnerSpan"), (2, "pad_loose_lathe"), (3, "demoteOrphanStream")], "query_id int, query string")
-    return _flat(lexical.search(load(spark, folder, "chunks"), asked, 5))
+    return _flat(lexical.search(load_spread(spark, folder, "chunks"), asked, 5))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,7 +237,7 @@ def cosine_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _arms(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """A lexical arm, and a vector arm that asks with the vector of the best lexical chunk."""
-    chunks = load(spark, folder, "chunks")
+    chunks = load_spread(spark, folder, "chunks")
     first = _lexical(spark, folder, k)
     usable = chunks.where((F.size("vector") == 64) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)) & F.exists("vector", lambda x: x != 0))
     asked = first.where("rank = 0").select("query_id", "chunk_pos").join(usable.select("chunk_pos", "vector"), "chunk_pos").select("query_id", "vector")
@@ -323,7 +323,7 @@ def dashboard_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
     made = embedding.embed_column(F.col("text"), lambda: embedding.HashEmbedder(64))
-    return load(spark, folder, "chunks").select("chunk_pos", made.alias("vector"))
+    return load_spread(spark, folder, "chunks").select("chunk_pos", made.alias("vector"))
 
 
 QUERIES = {

@@ -71,3 +71,17 @@ def drop_stages(spark: SparkSession) -> None:
     """Remove all staged tables of this application; results that still read them must be written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Rows of a small table over more partitions, for stages that compute much per row.
+
+    Eight times the scan's partitions at most, and no more than the session has cores; a table of enough partitions is
+    left as it is. ``table`` must be a plain scan: its partitions are counted without running anything.
+    """
+    cores, parts = table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions()
+    return table.repartition(min(cores, 8 * parts)) if 0 < parts < cores else table
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
