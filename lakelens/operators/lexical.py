@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
+from lakelens.session import shuffle_partitions
 
 K1, B = 1.2, 0.75
 
@@ -63,10 +64,13 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame
     totals = stats.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("n_tokens").alias("mean"))
     weights = counts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("holding")).crossJoin(F.broadcast(totals))
     weights = weights.select("phrase", "mean", _weight(F.col("total"), F.col("holding")).alias("idf"))
-    scored = counts.join(weights, "phrase").join(stats, "chunk_pos")
+    # by chunk from here on: the sums per query and chunk need no further shuffle; the number is given because few
+    # counts become many rows once they meet the queries
+    scored = counts.join(weights, "phrase").repartition(shuffle_partitions(counts.sparkSession), "chunk_pos").join(stats, "chunk_pos")
     f = F.col("f").cast("double")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    return scored.join(phrases, "phrase").groupBy("query_id", "chunk_pos").agg(F.sum(part * F.col("times")).alias("score"))
+    parts = scored.select("phrase", "chunk_pos", part.alias("part")).join(phrases, "phrase")
+    return parts.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakelens.config import Settings
 from lakelens.functions import text as T
 from lakelens.operators import catalog, chunking, embedding, evaluation, fusion, gate, lexical, nested_flatten, snapshot_diff, vector
+from lakelens.session import stage_table
 from lakelens.sources import directory, fetch
 from lakelens.tables import load, load_spread
 
@@ -238,7 +239,7 @@ def cosine_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
 def _arms(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """A lexical arm, and a vector arm that asks with the vector of the best lexical chunk."""
     chunks = load_spread(spark, folder, "chunks")
-    first = _lexical(spark, folder, k)
+    first = stage_table(_lexical(spark, folder, k), "lexical-arm")
     usable = chunks.where((F.size("vector") == 64) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)) & F.exists("vector", lambda x: x != 0))
     asked = first.where("rank = 0").select("query_id", "chunk_pos").join(usable.select("chunk_pos", "vector"), "chunk_pos").select("query_id", "vector")
     near = vector.batch_top_k(usable.select(F.col("chunk_pos").alias("id"), "vector"), asked, k)
