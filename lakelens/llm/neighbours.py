@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.session import shuffle_partitions
+
 DIM, K, THRESHOLD = 64, 5, 0.9
 #: Vectors the quantisers are fitted on, at most; every vector is indexed.
 SAMPLE = 50_000
@@ -217,6 +219,8 @@ def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell:
         return pd.DataFrame({"id": a, "neighbour": b, "cosine": c})
 
     placed = classes.mapInPandas(assign, "cell long, b long, q long, base boolean, query boolean, pos long, vec binary")
+    # the number is given, so that small rows of much work are not gathered into few tasks
+    placed = placed.repartition(shuffle_partitions(spark), "cell", "b", "q")
     pairs = placed.groupBy("cell", "b", "q").applyInPandas(scan, "id long, neighbour long, cosine double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("neighbour")))), 1, k)
     return pairs.groupBy("id").agg(best.alias("best")).select("id", F.explode("best").alias("x")).select("id", "x.neighbour", (-F.col("x.c")).alias("cosine"))

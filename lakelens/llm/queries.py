@@ -6,62 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakelens.llm import generated, leakage, near_duplicates, neighbours, packing, residue, secrets, splitting
 from lakelens.session import stage_table
-from lakelens.tables import load
+from lakelens.tables import load, load_spread
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.similar_rows(load(spark, folder, "chunks"), stage_table)
+    return near_duplicates.similar_rows(load_spread(spark, folder, "chunks"), stage_table)
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.groups(load(spark, folder, "chunks"), stage_table)
+    return near_duplicates.groups(load_spread(spark, folder, "chunks"), stage_table)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return generated.judged(load(spark, folder, "chunks"), stage_table).where("found").select("project_id", "ref", "path")
+    return generated.judged(load_spread(spark, folder, "chunks"), stage_table).where("found").select("project_id", "ref", "path")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.similar_pairs(load(spark, folder, "chunks"), stage_table)
+    return neighbours.similar_pairs(load_spread(spark, folder, "chunks"), stage_table)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.secrets(load(spark, folder, "chunks"))
+    return secrets.secrets(load_spread(spark, folder, "chunks"))
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.redacted(load(spark, folder, "chunks"))
+    return secrets.redacted(load_spread(spark, folder, "chunks"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = splitting.split_oversized(load(spark, folder, "chunks"))
+    pieces = splitting.split_oversized(load_spread(spark, folder, "chunks"))
     return pieces.where("piece_no = 0").select("chunk_pos", "cut")
 
 
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_oversized(load(spark, folder, "chunks"))
+    return splitting.split_oversized(load_spread(spark, folder, "chunks"))
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(load(spark, folder, "documents"), stage_table)
+    return packing.pack(load_spread(spark, folder, "documents"), stage_table)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items")).select("doc_id", "item_id")
+    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items")).select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 12 words with up to one character edit."""
-    return leakage.leaks(load(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
+    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.residue(load(spark, folder, "documents"), stage_table).select("doc_id")
+    return residue.residue(load_spread(spark, folder, "documents"), stage_table).select("doc_id")
 
 
 def p10_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The residue of every such document, with the width of its widest message."""
-    return residue.residue(load(spark, folder, "documents"), stage_table)
+    return residue.residue(load_spread(spark, folder, "documents"), stage_table)
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_packed": p8_packed, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_messages": p10_messages}
