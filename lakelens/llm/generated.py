@@ -199,8 +199,10 @@ def judged(chunks: DataFrame, stage, sample: int = SAMPLE, seed: int = 5) -> Dat
     if counts.get(0.0) and counts.get(1.0):
         room = [F.least(F.lit(1.0), F.lit(sample / counts[k])) for k in (0.0, 1.0)]
         drawn = labelled.where(F.pmod("h", F.lit(1 << 20)) < F.when(F.col("label") == 0.0, room[0]).otherwise(room[1]) * (1 << 20))
-        train = assembler.transform(drawn.orderBy("h").coalesce(1)).select("features", "label")
-        model = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="sqrt", minInstancesPerNode=2).fit(train.persist())
+        train = assembler.transform(drawn.orderBy("h").coalesce(1)).select("features", "label").persist()
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
+        model = forest.fit(train)
+        train.unpersist()
         scored = model.transform(assembler.transform(files)).withColumn("chance", vector_to_array("probability")[1])
     else:
         scored = files.withColumn("chance", F.lit(0.0))

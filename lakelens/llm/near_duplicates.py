@@ -275,20 +275,21 @@ def similar_rows(chunks: DataFrame, stage: Stage, **parameters: float) -> DataFr
     return across.unionByName(within).select(F.least("pa", "pb").alias("chunk_pos_a"), F.greatest("pa", "pb").alias("chunk_pos_b"))
 
 
-def components(pairs: DataFrame, stage: Stage, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame, stage: Stage) -> DataFrame:
     """(id, root): the least id of each connected component, by alternating large-star and small-star steps.
 
     Every step groups links by a node with map-side distinct links; nothing is gathered beyond counts.
     """
     links = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links-0")
-    before = None
-    for k in range(rounds):
+    before, k = None, 0
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lower.select("u", F.col("m").alias("v")))
-        links = stage(small.distinct(), f"links-{k + 1}")
+        k += 1
+        links = stage(small.distinct(), f"links-{k}")
         now = links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))), F.lit(0))).first()
         if now == before:
             break

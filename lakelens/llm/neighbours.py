@@ -192,8 +192,9 @@ def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell:
         for pdf in batches:
             for a in range(0, len(pdf), 8192):
                 ids, vec = pdf["pos"].to_numpy()[a : a + 8192], pdf["vec"].to_numpy()[a : a + 8192]
-                scores = _unit(_matrix(vec)) @ centres.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :p] if p > 1 else scores.argmax(axis=1)[:, None]
+                scores = _unit(_matrix(vec)).astype(np.float32) @ centres.T
+                best = np.argpartition(-scores, p - 1, axis=1)[:, :p]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1, kind="stable"), axis=1)
                 at, rank = np.repeat(np.arange(len(ids)), p), np.tile(np.arange(p), len(ids))
                 where = best.ravel()
                 own = ids[at] % blocks[where]
