@@ -11,6 +11,7 @@ PREFIX = "LAKELENS_"
 
 @dataclass(frozen=True)
 class Settings:
+    # fixed values: the defaults
     # embedding
     embedder: str = "local"
     embed_model: str = "Qwen/Qwen3-Embedding-0.6B"

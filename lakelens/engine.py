@@ -29,22 +29,22 @@ class IndexStats:
     errors: list[str] = field(default_factory=list)
 
 
+def _check(name: str, value: str, longest: int, white_space: bool) -> None:
+    """Refuse blank, overlong and control-character input before it reaches a plan, a command or a log."""
+    if not (value or "").strip():
+        raise ValueError(f"{name} is empty")
+    if len(value) > longest:
+        raise ValueError(f"{name} is longer than {longest} characters")
+    if (_CONTROL - set("\t\n\r" if white_space else "")) & set(value):
+        raise ValueError(f"{name} holds control characters")
+
+
 def check_project(project_id: str) -> None:
-    if not project_id or not project_id.strip():
-        raise ValueError("project_id must be a non-empty string")
-    if len(project_id) > T.MAX_PROJECT:
-        raise ValueError(f"project_id too long (>{T.MAX_PROJECT} chars)")
-    if _CONTROL & set(project_id):
-        raise ValueError("project_id contains control characters")
+    _check("project_id", project_id, T.MAX_PROJECT, white_space=False)
 
 
 def check_query(query: str) -> None:
-    if not query or not query.strip():
-        raise ValueError("query must be a non-empty string")
-    if len(query) > T.MAX_QUERY:
-        raise ValueError(f"query too long (>{T.MAX_QUERY} chars)")
-    if (_CONTROL - set("\t\n\r")) & set(query):
-        raise ValueError("query contains control characters")
+    _check("query", query, T.MAX_QUERY, white_space=True)
 
 
 class SearchEngine:

@@ -92,6 +92,7 @@ def decide(reports: DataFrame, policy: Policy | None = None) -> DataFrame:
         .withColumn("total", F.size("_levels"))
     )
     shown = F.concat(F.lit("['"), F.array_join("_block", "', '"), F.lit("']"))
+    # fixed values: the wording of reasons
     reasons = F.array_compact(
         F.array(
             F.when(F.col("blocking") > 0, F.concat(F.col("blocking").cast("string"), F.lit(" finding(s) at blocking level "), shown)),

@@ -127,6 +127,8 @@ def test_fetch_rules(tmp_path):
     with pytest.raises(RuntimeError) as problem:
         fetch.fetch_repo(s, "group/repo", "v1", run=lambda cmd, **k: (ran.append(cmd), Done)[1])
     assert "--branch" in ran[0] and len(str(problem.value)) < 330
+    (tmp_path / "c" / catalog.index_key("group/kept", "HEAD")).mkdir(parents=True)
+    assert fetch.fetch_repo(s, "group/kept", "HEAD", run=None).name == catalog.index_key("group/kept", "HEAD")  # a cached copy is used as it is
     with pytest.raises(ValueError, match="method"):
         fetch.fetch_repo(Settings(fetch="ftp", repo_cache=str(tmp_path / "d")), "g/r", "HEAD")
 
@@ -171,6 +173,15 @@ def test_directory_reads_relative_parts_only(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("a.py", "x")]
 
 
+def test_blank_files_give_no_index(spark, tmp_path):
+    root = tmp_path / "blank"
+    root.mkdir()
+    (root / "a.py").write_text("\n \n")
+    e = engine(spark, tmp_path)
+    assert e.index(str(root)).chunks == 0 and not e.status(str(root))["indexed"] and e._needs_index(str(root), "HEAD")
+    assert e.search(str(root), "anything") == []
+
+
 def test_catalog_helpers(spark):
     f = "project_id string, ref string, path string, sha string"
     stored = spark.createDataFrame([("p", "m", "a", "1"), ("p", "m", "b", None), ("p", "m", "c", "3")], f)
