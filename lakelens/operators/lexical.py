@@ -6,24 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.functions import text as T
-from lakelens.session import shuffle_partitions
+from lakelens.session import shuffle_partitions, stage_table
 
 K1, B = 1.2, 0.75
 
 
-def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_pos, field, positions): field 0 is the text, 1 the symbol. A row per term of a chunk's field.
+def _occurrences(chunks: DataFrame) -> DataFrame:
+    """(chunk_pos, field, pos, term): field 0 is the text, 1 the symbol."""
+    fields = chunks.select("chunk_pos", F.posexplode(F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("field", "tokens"))
+    return fields.select("chunk_pos", "field", F.posexplode("tokens").alias("pos", "term"))
 
-    ``only`` (term) restricts the postings to given terms before anything is shuffled.
-    """
-    fields = chunks.select(
-        "chunk_pos",
-        F.posexplode(F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("field", "tokens"),
-    )
-    each = fields.select("chunk_pos", "field", F.posexplode("tokens").alias("pos", "term"))
-    if only is not None:
-        each = each.join(only.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "chunk_pos", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+def build_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_pos, field, positions): a row per term of a chunk's field."""
+    return _occurrences(chunks).groupBy("term", "chunk_pos", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -38,15 +34,31 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", phrase.alias("phrase")).where("phrase <> ''").groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _parts(phrases: DataFrame) -> DataFrame:
+    words = F.split("phrase", " ")
+    return phrases.select("phrase").distinct().select("phrase", F.posexplode(words).alias("part", "term"), F.size(words).alias("n"))
+
+
+def _whole(starts: DataFrame) -> DataFrame:
+    """A phrase stands where all its parts agree on the place of its first token."""
+    met = starts.groupBy("phrase", "n", "chunk_pos", "field", "at").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    return met.groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f"))
+
+
 def phrase_counts(postings: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, chunk_pos, f): occurrences of each phrase, never across the two fields."""
-    parts = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("part", "term"), F.size(F.split("phrase", " ")).alias("n"))
-    hits = postings.join(parts, "term")
+    hits = postings.join(_parts(phrases), "term")
     single = hits.where("n = 1").groupBy("phrase", "chunk_pos").agg(F.sum(F.size("positions")).alias("f"))
-    # a phrase stands where all its parts agree on the place of its first token
     starts = hits.where("n > 1").select("phrase", "n", "chunk_pos", "field", F.explode(F.transform("positions", lambda p: p - F.col("part"))).alias("at"))
-    whole = starts.groupBy("phrase", "n", "chunk_pos", "field", "at").agg(F.count(F.lit(1)).alias("c")).where("c = n")
-    return single.unionByName(whole.groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f")))
+    return single.unionByName(_whole(starts))
+
+
+def token_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The same from chunks without an index: only occurrences of the phrases' terms are shuffled."""
+    hits = _occurrences(chunks).join(_parts(phrases), "term")
+    single = hits.where("n = 1").groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f"))
+    starts = hits.where("n > 1").select("phrase", "n", "chunk_pos", "field", (F.col("pos") - F.col("part")).alias("at"))
+    return single.unionByName(_whole(starts))
 
 
 def _weight(total: Column, holding: Column) -> Column:
@@ -54,13 +66,8 @@ def _weight(total: Column, holding: Column) -> Column:
     return F.when(idf > 0, idf).otherwise(F.lit(1e-6))
 
 
-def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_pos, score): BM25 over the whole index, higher is better; chunks without any phrase are absent.
-
-    Statistics are over all rows of ``stats``, whatever is filtered afterwards.
-    """
-    phrases = query_phrases(queries)
-    counts = phrase_counts(postings, phrases)
+def score(counts: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, chunk_pos, score): BM25 over all rows of ``stats``, higher is better; chunks without any phrase are absent."""
     totals = stats.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("n_tokens").alias("mean"))
     weights = counts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("holding")).crossJoin(F.broadcast(totals))
     weights = weights.select("phrase", "mean", _weight(F.col("total"), F.col("holding")).alias("idf"))
@@ -73,6 +80,12 @@ def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame
     return parts.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
+def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scores from a stored index. Statistics are over the whole index, whatever is filtered afterwards."""
+    phrases = query_phrases(queries)
+    return score(phrase_counts(postings, phrases), stats, phrases)
+
+
 def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k best chunks of every query with rank from 0, ties by path, start line and position.
 
@@ -86,9 +99,12 @@ def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """Search without a stored index: only postings of the queries' terms are built. ``keep`` filters chunks after scoring, as a key filter does."""
-    asked = query_phrases(queries).select(F.explode(F.split("phrase", " ")).alias("term"))
-    scores = bm25(build_postings(chunks, asked), doc_stats(chunks), queries)
+    """Search without a stored index. ``keep`` filters chunks after scoring, as a key filter does.
+
+    Counts, sizes and phrases serve several times each, so they are staged.
+    """
+    phrases, stats = stage_table(query_phrases(queries), "phrases"), stage_table(doc_stats(chunks), "doc-stats")
+    scores = score(stage_table(token_counts(chunks, phrases), "phrase-counts"), stats, phrases)
     if keep is not None:
         chunks = chunks.where(keep)
         scores = scores.join(chunks.select("chunk_pos"), "chunk_pos", "left_semi")
