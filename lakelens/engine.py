@@ -13,7 +13,7 @@ from lakelens.functions import text as T
 from lakelens.operators import chunking, embedding, fusion, lexical, vector
 from lakelens.operators.catalog import CHUNKS, Catalog, diff_paths
 from lakelens.render import format_results
-from lakelens.session import stage_table
+from lakelens.session import ship_package, stage_table
 from lakelens.sources import directory, fetch
 
 _CONTROL = {chr(c) for c in range(0x20)} | {"\x7f"}
@@ -51,6 +51,7 @@ class SearchEngine:
     """One engine per session. Builds of one index are serialised; a finished one is seen by all at once."""
 
     def __init__(self, spark: SparkSession, settings: Settings, embedder: embedding.Embedder | None = None, reranker: embedding.Reranker | None = None):
+        ship_package(spark)
         self.spark, self.settings = spark, settings
         self.embedder = embedder or embedding.make_embedder(settings)
         self.reranker = reranker if reranker is not None else embedding.make_reranker(settings)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakelens.config import Settings
 from lakelens.functions import text as T
 from lakelens.operators import catalog, chunking, embedding, evaluation, fusion, gate, lexical, nested_flatten, snapshot_diff, vector
-from lakelens.session import stage_table
+from lakelens.session import ship_package, stage_table
 from lakelens.sources import directory, fetch
 from lakelens.tables import load, load_spread
 
@@ -76,6 +76,7 @@ def rest_source(spark: SparkSession, folder: str) -> DataFrame:
             return 200, {"x-next-page": "2" if params["page"] == "1" else ""}, json.dumps(entries).encode()
         return 200, {}, b"def f():\r\n    return 1\n"
 
+    ship_package(spark)
     source = type("StandInTree", (fetch.TreeSource,), {"transport": staticmethod(transport)})
     spark.dataSource.register(source)
     return spark.read.format("served_tree").option("project", "group/repo").load()

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ SETTINGS = {
 
 
 _folders: set[str] = set()
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, app: str = "lakelens", **extra: str) -> SparkSession:
@@ -85,3 +88,20 @@ def spread(table: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on all executors, once per application, wherever the driver found it."""
+    application, source = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if application in _shipped or not source.is_dir():
+        return
+    _shipped.add(application)
+    shared = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    # the driver serves the archive to executors as they start, so it lies apart from the stages and stays to the end
+    folder = Path(shared) / f"package-{application}" if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="lakelens-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(archive := folder / "lakelens.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(source.rglob("*.py")):
+            z.write(path, path.relative_to(source.parent))
+    spark.sparkContext.addPyFile(str(archive))

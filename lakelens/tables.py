@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakelens.session import spread
+from lakelens.session import ship_package, spread
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder; columns are pruned by the plans that use it."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
