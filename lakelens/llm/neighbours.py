@@ -1,6 +1,7 @@
 """Most similar vectors for every vector: coarse cells, score-aware four-bit codes, exact reranking.
 
-Unit vectors are spread over coarse cells; every vector is searched in the few cells nearest to it. Within a cell the base
+Unit vectors are spread over coarse cells; every vector is searched in the few cells nearest to it and in every further one
+within a margin of the nearest, which is settled on a sample so that the cells of a dense group are all searched. Within a cell the base
 vectors are product-quantised with four bits per subspace under an anisotropic loss, which weighs the error parallel to
 the vector more than the rest. Scores are read from tables, two codes at a time. A pair whose cosine reaches the threshold
 has a table score of at least ``threshold - |parallel error| - sin * |orthogonal error|``: this bound, kept per base vector,
@@ -26,6 +27,11 @@ SAMPLE = 50_000
 CELL, CELLS, PROBES = 3_000, 16_384, 4
 _SUB, _CODES = 16, 16  # subspaces, codes of one (four bits)
 _QUERIES, _BASE = 128, 20_000  # rows scanned at a time, and rows of one task's share of a crowded cell
+_ASKED = 60_000  # vectors searched by one task in (a block of) a cell
+#: Sampled vectors that margins are settled on, share of their neighbours that a margin must reach, and its least width: in
+#: standard deviations of how far a vector at the threshold lies over in a given direction, where no direction is favoured.
+_TRIED, _REACHED, _WIDTH = 5_000, 0.999, 2.5
+_SCORES = 1 << 22  # scores against centres held at a time
 _ROW = "pos long, vec binary"
 
 
@@ -124,6 +130,47 @@ def fit_books(x: np.ndarray, residual: np.ndarray, rounds: int = 5) -> np.ndarra
     return books
 
 
+def _gaps(scores: np.ndarray, own: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far each vector would have to move to lie in each cell: distance from the plane between that cell and its own."""
+    which, inverse = np.unique(own, return_inverse=True)
+    square = (centres * centres).sum(axis=1)
+    apart = np.sqrt(np.maximum(square + square[which][:, None] - 2 * centres[which] @ centres.T, 1e-6))
+    return (scores[np.arange(len(own)), own][:, None] - scores) / apart[inverse]
+
+
+def fit_margins(unit: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """By cell, the gap up to which its vectors are searched in other cells.
+
+    At least the width above and what ``_REACHED`` of the sampled neighbours need, more for a cell whose own ones need more.
+    """
+    tried = np.random.default_rng(13).choice(len(unit), min(_TRIED, len(unit)), replace=False)
+    x, step, owners, needed = unit.astype(np.float32), max(1, _SCORES // max(len(unit), len(centres), 1)), [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for a in range(0, len(tried), step):
+        t = tried[a : a + step]
+        cosine = x[t] @ x.T
+        cosine[np.arange(len(t)), t] = -2
+        top = min(k, len(x) - 1)
+        best = np.argpartition(-cosine, top - 1, axis=1)[:, :top] if top > 0 else np.zeros((len(t), 0), np.int64)
+        at, rank = np.nonzero(np.take_along_axis(cosine, best, axis=1) >= threshold)
+        owners.append(near[t[at]])
+        needed.append(_gaps(x[t] @ centres.T, near[t], centres)[at, near[best[at, rank]]])
+    owner, need = np.concatenate(owners), np.concatenate(needed)
+    least = _WIDTH * np.sqrt((2 - 2 * threshold) / (DIM - 1))
+    margins = np.full(len(centres), max(least, np.quantile(need, _REACHED) if len(need) else 0), np.float32)
+    np.maximum.at(margins, owner, need.astype(np.float32) * np.float32(1.0001))
+    return margins
+
+
+def probed(unit: np.ndarray, centres: np.ndarray, margins: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(own cell of each vector, (vectors, cells) whether it is searched there): the nearest cells and all within its margin."""
+    scores, p = unit.astype(np.float32) @ centres.T, min(probes, len(centres))
+    own = scores.argmax(axis=1)
+    asked = _gaps(scores, own, centres) <= margins[own][:, None]
+    np.put_along_axis(asked, np.argpartition(-scores, p - 1, axis=1)[:, :p], True, axis=1)
+    asked[np.arange(len(own)), own] = True
+    return own, asked
+
+
 class Cell:
     """The coded base vectors of (a block of) one cell."""
 
@@ -168,11 +215,17 @@ class Cell:
         return query[rank < k], base[rank < k], cosine[rank < k]
 
 
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for each of the ``n`` blocks of every row."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell: int = CELL, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
     """(id, neighbour, cosine): the k most similar other vectors of each, of those at or above the threshold.
 
     classes: pos, vec (distinct vectors). The quantisers are fitted on at most ``sample`` vectors. A crowded cell is cut
-    into blocks of base and query rows of bounded size, each pair of blocks a task of its own.
+    into blocks of base and query rows of bounded size, each pair of blocks a task of its own. ``probes`` is the least number
+    of cells a vector is searched in; margins add all others that may hold a neighbour.
     """
     spark = classes.sparkSession
     total = classes.count()
@@ -184,34 +237,32 @@ def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell:
     books = fit_books(unit[:20_000], (unit - centres[near])[:20_000]) if len(unit) else np.zeros((_SUB, _CODES, DIM // _SUB))
     crowd = np.bincount(near, minlength=len(centres)) * (total / max(len(unit), 1))
     blocks = np.maximum(1, np.ceil(crowd / _BASE)).astype(np.int64)
-    shipped = spark.sparkContext.broadcast((centres, books, blocks))
+    margins = fit_margins(unit, near, centres, k, threshold)
+    step = max(1, min(8192, _SCORES // len(centres)))
+    asked = sum((probed(unit[a : a + step], centres, margins, probes)[1].sum(axis=0) for a in range(0, len(unit), step)), np.zeros(len(centres)))
+    shares = np.maximum(1, np.ceil(np.maximum(asked * (total / max(len(unit), 1)) / _ASKED, crowd / _BASE))).astype(np.int64)
+    shipped = spark.sparkContext.broadcast((centres, books, blocks, shares, margins))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, _, blocks = shipped.value
-        p = min(probes, len(centres))
+        centres, _, blocks, shares, margins = shipped.value
         for pdf in batches:
-            for a in range(0, len(pdf), 8192):
-                ids, vec = pdf["pos"].to_numpy()[a : a + 8192], pdf["vec"].to_numpy()[a : a + 8192]
-                scores = _unit(_matrix(vec)).astype(np.float32) @ centres.T
-                best = np.argpartition(-scores, p - 1, axis=1)[:, :p]
-                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1, kind="stable"), axis=1)
-                at, rank = np.repeat(np.arange(len(ids)), p), np.tile(np.arange(p), len(ids))
-                where = best.ravel()
-                own = ids[at] % blocks[where]
-                if (blocks == 1).all():
-                    yield pd.DataFrame({"cell": where, "b": 0, "q": 0, "base": rank == 0, "query": True, "pos": ids[at], "vec": vec[at]})
+            for a in range(0, len(pdf), step):
+                ids, vec = pdf["pos"].to_numpy()[a : a + step], pdf["vec"].to_numpy()[a : a + step]
+                mine, asked = probed(_unit(_matrix(vec)), centres, margins, probes)
+                at, where = np.nonzero(asked)
+                home = where == mine[at]
+                if (blocks == 1).all() and (shares == 1).all():
+                    yield pd.DataFrame({"cell": where, "b": 0, "q": 0, "base": home, "query": True, "pos": ids[at], "vec": vec[at]})
                     continue
                 # base rows go to their block with every query block, query rows to their block with every base block
-                n = blocks[where]
-                row = np.repeat(np.arange(len(at)), n)
-                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                asked = pd.DataFrame({"cell": where[row], "b": other, "q": own[row], "base": False, "query": True, "pos": ids[at[row]], "vec": vec[at[row]]})
-                row, other = row[rank[row] == 0], other[rank[row] == 0]
-                held = pd.DataFrame({"cell": where[row], "b": own[row], "q": other, "base": True, "query": False, "pos": ids[at[row]], "vec": vec[at[row]]})
-                yield pd.concat([asked, held])
+                row, other = _spread(blocks[where])
+                asking = pd.DataFrame({"cell": where[row], "b": other, "q": ids[at[row]] % shares[where[row]], "base": False, "query": True, "pos": ids[at[row]], "vec": vec[at[row]]})
+                row, other = _spread(shares[mine])
+                held = pd.DataFrame({"cell": mine[row], "b": ids[row] % blocks[mine[row]], "q": other, "base": True, "query": False, "pos": ids[row], "vec": vec[row]})
+                yield pd.concat([asking, held])
 
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        centres, books, _ = shipped.value
+        centres, books, *_ = shipped.value
         base, query = pdf[pdf["base"]], pdf[pdf["query"]]
         if not len(base) or not len(query):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "cosine": np.zeros(0)})

@@ -47,6 +47,22 @@ def test_crowded_cells_are_cut_into_blocks(spark, monkeypatch):
     assert pairs(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("share", [None, 700])
+def test_recall_within_a_dense_group_of_a_third_of_all(spark, monkeypatch, share):
+    if share:
+        monkeypatch.setattr(N, "_ASKED", share)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    hot = centre / np.linalg.norm(centre) + 0.036 * rng.standard_normal((2000, 64))
+    m = np.concatenate([hot, rng.standard_normal((4000, 64))]).astype(np.float32)
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    cosine = unit[:2000] @ unit[:2000].T
+    np.fill_diagonal(cosine, -1)
+    want = {(min(a, int(b)), max(a, int(b))) for a, row in enumerate(np.argsort(-cosine, axis=1)[:, :5]) for b in row if cosine[a, b] >= 0.9}
+    got = pairs(frame(spark, [(n, row.tolist()) for n, row in enumerate(m)]), cell=60)
+    assert len(want) > 5000 and len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
 def test_equal_vectors_and_ties(spark):
     v, w = np.eye(64)[0].tolist(), (np.eye(64)[0] + 0.1 * np.eye(64)[1]).tolist()
     rows = [(n, v) for n in range(20)] + [(n, w) for n in range(20, 24)]
