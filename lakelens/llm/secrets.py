@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
@@ -38,6 +39,7 @@ _FORMATS = re.compile(
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"
     r")(?![A-Za-z0-9])"
 )
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")  # a format above, whose parts are not opened
 _BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(.*?)-----END \1-----", re.S)
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]{3,})@(?=[A-Za-z0-9\[])")
 _PAIR = re.compile(r"(?i)(?<=[;\"'`\s?&])(?:password|pwd|accountkey|sharedaccesskey|sharedsecret)=([^;\"'`\s&]{4,})(?=[;\"'`&])")
@@ -198,9 +200,13 @@ def _decoded(literal: str) -> Iterator[bytes]:
 
 
 def _layers(text: str, config: bool, depth: int) -> Iterator[Hit]:
+    signed = [m.span() for m in _JWT.finditer(text)] if ".eyJ" in text else []
     for m in _LITERAL.finditer(text):
         literal = m[0]
-        if literal.startswith("eyJ") or literal.isalpha() and (literal.islower() or literal.isupper()) or "__" in literal:
+        if literal.isalpha() and (literal.islower() or literal.isupper()):
+            continue
+        k = bisect_right(signed, (m.start(), len(text))) - 1
+        if k >= 0 and m.start() < signed[k][1]:
             continue
         for data in _decoded(literal):
             if is_private_key(data):

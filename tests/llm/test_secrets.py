@@ -70,6 +70,27 @@ def test_binary_key_containers_are_read_by_their_grammar():
     assert values(f'der = "{literal}"') == [literal]
 
 
+@pytest.mark.parametrize("inner", ['{"auths":{"r.example":{"username":"u","password":"Harbor!4012align"}}}', '{"password":"Harbor!4012align"}', '{"type":"service_account","private_key":"' + KEY.replace("\n", "\\n") + '"}'])
+def test_encoded_json_is_opened(inner):
+    literal = base64.b64encode(inner.encode()).decode()
+    assert literal.startswith("eyJ")
+    assert values(f".dockerconfigjson: {literal}", "s.yml") == [literal] and values(f'blob = "{literal}"') == [literal]
+    assert values(f'blob = "{base64.b64encode(b"""{"colour":"green","size":"medium"}""").decode()}"') == []
+
+
+def test_parts_of_signed_tokens_are_not_opened_one_by_one():
+    part = base64.urlsafe_b64encode(b'{"password":"Harbor!4012align"}').decode().rstrip("=")
+    token = f"eyJhbGciOiJIUzI1NiJ9.{part}.{'Ab3dEf6hIj' * 3}"
+    assert values(f'x = "{token}"') == [token]
+
+
+def test_url_safe_literals_may_hold_two_underscores():
+    key = b"\x30\x15" + b"\x02\x01\0" + b"\x02\x08" + b"\x11\xff\xff\xff\xff\xff\xff\x11" + b"\x02\x06" + b"\x11" * 6
+    literal = base64.urlsafe_b64encode(key).decode()
+    assert "__" in literal and values(f'blob = "{literal}"') == [literal]
+    assert values("some_module__some_other_module__function_name(first__argument_of_the_call)") == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=300))
 def test_any_text_keeps_its_length(text):
