@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from re import _parser
 
 import ahocorasick
 import pandas as pd
@@ -69,16 +70,15 @@ _VAGUE = re.compile(r"(?i)\b(?:error|erreur|fehler|denied|forbidden|unavailable|
 _ABOUT = re.compile(r"(?i)\b(?:we|i|our|users?|nobody|because|retried|retries|since|until|whenever|when|if|answers?|sends?|returns? (?!at)|logs?|rejects?|replaced|dropped|fixtures?|tests?|reports? (?:such|that|an?)|gives up|works without|only for|reviewers?|in version|instead of|should)\b")
 _NOTE = re.compile(r"^\W*(?:todo|fixme|xxx|hack|note)\b(?!.*\b(?:your|insert)\b)", re.I)
 _LATIN = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|fugiat|caputel|sediam|velanto)\b")
-_SHAPES = re.compile(r"<[A-Z]|\[[A-Z]{3}|^[ \t#>*+-]*[\[(<](?=[A-Za-z])", re.M)
 _REPEATED = re.compile(r"\b(\w{3,12})[ ,.]+\1\b[ ,.]+\1\b")
-# fixed values: fragments of which every rule's matches hold one (or a shape above)
-_FRAGMENTS = (
-    "error erreur fehler denied forbidden unauthor unavailable indisponible introuvable encontrada denegado verweigert interdit negato refus went~wrong upstream~connect fatal: rate~limit maintenance sign~in log~in login session~has "
-    "too~large preview timed~out timeout time-out permission access~to not~found not~available could~not cannot can't can~not have~been nicht~gefunden nicht~verf nicht~erreich non~trov не~найдена доступ gateway bad~request too~many not~implemented payment~required "
-    "method~not teapot gone subscribe register upgrade failed~to oops whoops sorry requested <title <h1 is~down are~down down~for closed~for offline refused no~longer does~not~exist disponible serveur servidor server content remaining rest~of 见 見つかりません 不存在 未找到 拒绝 "
-    "script cookie skript browser captcha robot lorem ipsum dolor placeholder dummy filler sample~text blind~text asdf qwerty blah brown~fox "
-    "{{ {% <% ${ [[ @@ %( %% __ #{ ~here insert [enter <enter (enter <your [your (your [add <add (add fill~in [fill [put [choose [type [replace <replace describe~what first~step second~step third~step next~step item~one item~two item~three "
-    "item~1 item~2 item~3 concise~description please~fill please~replace please~delete to~add to~edit to~enter"
+# fixed values: alternatives of rules (by their beginnings) that hold no fixed words, or too common ones, and the shapes looked for instead
+_SHAPED = (
+    r"(?<!\w)<(?:[A-Z]", r"\[[A-Z]{3,}", r"(?i)[<\[(]\s*(?:your|insert", r"^\W*[\[(<](?:describe", r"\b(\w{3,12})(?:[ ,.]+\1", r"\b(?:code|código",
+)
+_SHAPES = (
+    re.compile(r"<[A-Z]|\[[A-Z]{3}"),
+    re.compile(r"(?i)[<\[(][^\S\n]*(?:your|insert|enter|add|fill in|replace|put|choose|type|todo|e\.g\. your|describe|explain|state|list|write|summari[sz]e|provide|give|specify|outline|name|what|why|how|who)\b"),
+    re.compile(r"(?i)\b(?:code|código|erreur|error|status)\W{0,3}[45]\d\d\b"),
 )
 _MASKS = (
     (re.compile(r"https?://\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b(?:[a-z0-9-]+\.)+(?:com|org|net|io|dev|example|test|invalid|local)\b", re.I), "<address>"),
@@ -89,11 +89,95 @@ _MASKS = (
 )
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a regular expression."""
+    parts, depth, inside, at, k = [], 0, False, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[at:k])
+            at = k + 1
+        k += 1
+    return [*parts, pattern[at:]]
+
+
+def _weight(words: set[str]) -> tuple[int, int]:
+    return min((sum(1 if c.isascii() else 3 for c in w) for w in words), default=0), -len(words)
+
+
+def _words(tree) -> tuple[set[str] | None, set[str] | None]:
+    """(all strings a parsed expression matches, if they are few; strings of which each match holds one, if there are any)."""
+    whole, run, best = True, {""}, None
+
+    def offer(words: set[str] | None) -> None:
+        nonlocal best
+        least = 3 if words and any(w[:2].isalpha() for w in words) else 2
+        if words and _weight(words)[0] >= least and (best is None or _weight(words) > _weight(best)):
+            best = words
+
+    for op, value in tree:
+        exact = held = None
+        op = str(op)
+        if op == "LITERAL":
+            exact = {chr(value).lower()}
+        elif op in ("AT", "ASSERT", "ASSERT_NOT"):
+            exact = {""}
+        elif op == "IN" and len(value) <= 4 and all(str(o) == "LITERAL" for o, _ in value):
+            exact = {chr(v).lower() for _, v in value}
+        elif op == "SUBPATTERN":
+            exact, held = _words(value[3])
+        elif op == "BRANCH":
+            each = [_words(x) for x in value[1]]
+            exact = set().union(*(e for e, _ in each)) if all(e is not None for e, _ in each) else None
+            held = set().union(*(h for _, h in each)) if all(h for _, h in each) else None
+        elif op == "MAX_REPEAT" and value[0] <= 1:
+            exact, held = _words(value[2])
+            exact = (exact if value[0] else {"", *exact}) if exact is not None and value[1] == 1 else None
+            held = held if value[0] else None
+        elif op == "MAX_REPEAT":
+            held = _words(value[2])[1]
+        if exact is not None and len(exact) * len(run) <= 256:
+            run = {a + b for a in run for b in exact}
+            continue
+        offer(run)
+        offer(held)
+        whole, run = False, exact or {""}
+        if exact:
+            offer(exact)
+    offer(run)
+    return (run if whole else None), best
+
+
+@cache
+def fragments() -> frozenset[str]:
+    """Lower-case strings, derived from the rules, of which every match holds one or one of the shapes."""
+    found: set[str] = set()
+    for rule in (_FIELD, _PROMPT, _BLANKS, _FILLER, _SERVER, _SCRIPTS, *map(re.compile, alternatives(_VAGUE.pattern))):
+        for alternative in alternatives(rule.pattern):
+            if alternative.startswith(_SHAPED):
+                continue
+            words = _words(_parser.parse(alternative))[1]
+            if not words:
+                raise ValueError(f"neither fixed words nor a shape: {alternative}")
+            found |= words
+    # three different ones make filler, so the two that are parts of common words need not be looked for
+    found |= _words(_parser.parse(_LATIN.pattern))[1] - {"amet", "elit"}
+    return frozenset(w for w in found if not any(v != w and v in w for v in found))
+
+
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for fragment in _FRAGMENTS.split():
-        found.add_word(fragment.replace("~", " "), True)
+    for fragment in fragments():
+        found.add_word(fragment, True)
     found.make_automaton()
     return found
 
@@ -115,11 +199,11 @@ def masked(segment: str) -> str:
 def _lines(text: str) -> Iterator[str]:
     """Lines with anything that a rule could need; the others are never looked at."""
     low = text.lower()
-    if len(low) != len(text):  # positions moved: look at every line
+    if len(low) != len(text) or "ſ" in low or "ı" in low:  # positions moved, or letters that only rules fold: look at every line
         yield from text.split("\n")
         return
     marks = {end for end, _ in _automaton().iter(low)}
-    marks.update(m.start() for m in _SHAPES.finditer(text))
+    marks.update(m.start() for shape in _SHAPES for m in shape.finditer(text))
     marks.update(m.start() for m in _REPEATED.finditer(low))
     done = -1
     for at in sorted(marks):

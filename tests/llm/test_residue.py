@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, assume, given, settings
+from hypothesis import strategies as st
 
 from lakelens.llm import residue as R
 from lakelens.session import stage_table
@@ -60,3 +64,24 @@ def test_fast_path_sees_every_line_that_rules_match():
     texts = ["a\n{{ x }}\nb", "a\n<OWNER>\nb", "a\n[ABC]\n", "x\nİ {{ x }}\ny", "p\nword word word word word\nq", "[List them]", "  - (describe the change)"]
     for text in texts:
         assert kinds(text), text
+
+
+@pytest.mark.parametrize("line", ["Connection reset by peer", "Sample paragraph 2", "Example text", "Sample heading", "1. [Describe the change]", "| [Describe the change] |", "See <choose a person> for this", "(choose a colour)", "Ask <type a name> first"])
+def test_lines_that_only_a_rule_knows(line):
+    assert kinds(line) and kinds(f"# A title\n\n{line}\n\nThe end")
+
+
+RULES = [a for rule in (R._FIELD, R._PROMPT, R._BLANKS, R._FILLER, R._SERVER, R._SCRIPTS, R._VAGUE) for a in R.alternatives(rule.pattern)]
+
+
+@pytest.mark.parametrize("alternative", RULES)
+def test_every_alternative_passes_the_prefilter(alternative):
+    rule = re.compile(alternative if alternative.startswith("(?i)") or alternative in R.alternatives(R._FIELD.pattern) else f"(?i){alternative}")
+
+    @settings(max_examples=12, deadline=None, derandomize=True, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(rule) if "(?=" not in alternative else st.sampled_from([f'{{"{key}" : "x failed"' for key in ("error", "message", "detail", "title", "fault", "status", "code")]))
+    def passes(line):
+        assume("\n" not in line and rule.search(line.strip()))
+        assert line in list(R._lines(f"x\n{line}\nx"))
+
+    passes()
