@@ -26,6 +26,8 @@ CODE = re.compile(
 _FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t>]*\1`*~*[ \t]*$|\Z)", re.S | re.M)
 _TICKS = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\s\d])")
+#: Tags that begin a part of a page; a line of mark-up is taken apart at them, however long it is.
+_TAG = re.compile(r"(?i)(?=<(?:/?(?:html|head|body|title|h[1-6]|p|div|section|main|header|footer|article|center|noscript|form|ul|ol|li|table|tr|td|pre|blockquote)\b|br\b|hr\b|meta\b|link\b|!))")
 _QUOTED = "\x01"  # stands for quoted code
 
 # fixed values: placeholder forms of template languages and forms for people to fill in
@@ -47,7 +49,7 @@ _STATUS = r"(?:400 bad request|401 unauthori[sz]ed|402 payment required|403 forb
 # fixed values: wordings of servers and viewers, by kind
 _SERVER = re.compile(
     rf"(?i)^\W*{_STATUS}\W*$|<(?:title|h1)>\s*(?:error )?[45]\d\d\b|^\W*(?:http )?error:? [45]\d\d\W*$|^\W*(?:--+ ?)?content unavailable\b"
-    rf"|^\W*(?=\{{.{{0,400}}$)(?=.*\b(?:[45]\d\d|error|denied|forbidden|unauthori[sz]ed|time-?out|unavailable|not found|failed|invalid)\b)\{{\s*\"(?:error|message|detail|title|fault|status|code)\"\s*:"
+    rf"|^\W*(?=\{{.*\b(?:[45]\d\d|error|denied|forbidden|unauthori[sz]ed|time-?out|unavailable|not found|failed|invalid)\b)\{{\s*\"(?:error|message|detail|title|fault|status|code)\"\s*:"
     rf"|^\W*(?:the )?(?:remaining|rest of)\b.{{0,60}}\b(?:failed to load|could not be|cannot be|is unavailable)|^\W*[\[(-].{{0,80}}\b(?:failed to load|unavailable|not available|could not be (?:loaded|shown))\b.{{0,60}}[\])-]\W*$"
     rf"|^\W*error (?:while )?loading\b.{{0,60}}\b(?:page|content|document|resource|text|file|image|section)\b|\b(?:rest|remainder) of (?:this|the) (?:page|document|content) (?:could not|cannot|can't|failed)"
     rf"|^\W*access (?:to this (?:page|resource|site) (?:is |has been )?)?denied\W*$|^\W*you (?:do not|don't) have (?:the )?(?:permission|access|rights?)\b.{{0,30}}\b(?:to (?:view|access|open|see|read)|on this server)|^\W*(?:permission denied|forbidden|unauthori[sz]ed|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|request timed out|page not found|not found)\W*$"
@@ -221,10 +223,28 @@ def segments(text: str) -> Iterator[str]:
         if len(line) < 3:
             continue
         parts = _SENTENCE.split(line)
-        if len(parts) == 1 or len(line) < 120 or len(line) < 400 and line[:1] in "<{":
+        if len(parts) == 1 or len(line) < 120 or line[:1] in "<{":
             yield line
         if len(parts) > 1:
             yield from parts
+        if "<" in line and classify(line) not in ("error", "script", "filler"):  # a page that is clear as a whole is one message
+            yield from _marked_up(line)
+
+
+def _marked_up(line: str) -> Iterator[str]:
+    """The parts of a line of mark-up from tag to tag, and the sentences of each; scripts and styles are no text."""
+    parts = _TAG.split(re.sub(r"(?i)<(script|style)\b.*?(?:</\1\s*>|$)", "<br>", line))
+    for part in parts if len(parts) > 1 else ():
+        part = part.strip()
+        if not part:
+            continue
+        yield part
+        text = re.sub(r"^<[^<>]*>\s*", "", part)
+        if len(text) > 2 and text != part:
+            yield text
+        sentences = _SENTENCE.split(text)
+        if len(sentences) > 1:
+            yield from sentences
 
 
 def classify(segment: str) -> str:
@@ -234,16 +254,16 @@ def classify(segment: str) -> str:
     if _FIELD.search(segment) or _PROMPT.search(segment):
         return "template"
     quoted = _QUOTED in segment
-    if not quoted and len(segment) < 200 and _BLANKS.search(segment):
+    if not quoted and _BLANKS.search(segment):
         return "template"
     if not quoted and (_FILLER.search(segment) or len(set(x.lower() for x in _LATIN.findall(segment))) >= 3):
         return "filler"
     about = quoted or bool(_ABOUT.search(segment))
-    if not quoted and len(segment) < 600 and _SCRIPTS.search(segment) and not (about and not re.search(r"(?i)<noscript|(?:your|this) browser|this (?:page|site|app|viewer)", segment)):
+    if not quoted and _SCRIPTS.search(segment) and not (about and not re.search(r"(?i)<noscript|(?:your|this) browser|this (?:page|site|app|viewer)", segment)):
         return "script"
-    if not quoted and len(segment) < 600 and _SERVER.search(segment) and not re.search(r"(?i)\b(?:because|retried|retries|we saw|users of|since monday|gives up|still lists|reviewers|fixtures?)\b", segment):
+    if not quoted and _SERVER.search(segment) and not re.search(r"(?i)\b(?:because|retried|retries|we saw|users of|since monday|gives up|still lists|reviewers|fixtures?)\b", segment):
         return "error"
-    return "vague" if not about and len(segment) < 160 and _VAGUE.search(segment) else ""
+    return "vague" if not about and _VAGUE.search(segment) else ""
 
 
 def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

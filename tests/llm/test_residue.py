@@ -85,3 +85,21 @@ def test_every_alternative_passes_the_prefilter(alternative):
         assert line in list(R._lines(f"x\n{line}\nx"))
 
     passes()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("<!doctype html><html><head><style>" + "a{color:#123456;margin:0} " * 60 + "</style><title>403 Forbidden</title></head><body><p>We log each visit. Our team looks at it because x.</p></body></html>", "error"),
+        ("<html><head><style>" + "a{color:#123456;margin:0}" * 60 + "</style></head><body><div>Access denied</div></body></html>", "error"),
+        ("<html><head><style>" + "a{color:#123456;margin:0}" * 60 + "</style></head><body><noscript>Scripts are off here.</noscript></body></html>", "script"),
+        ('{"error": "it went on. And on", "trace": "' + "at x.y.z; " * 80 + '", "status": 503}', "error"),
+        ("Please " + "and once more " * 60 + "enable JavaScript to run this app.", "script"),
+    ],
+)
+def test_long_lines_are_classified(text, kind):
+    assert len(text) > 600 and kind in kinds(text)
+
+
+def test_long_vague_messages_count():
+    assert R.classify("An error of the harbour " + "and of the quay " * 20) == "vague"
