@@ -27,7 +27,9 @@ SAMPLE = 8_000
 TREES, TREE_DEPTH = 40, 8
 #: Chance from which on a file is a case; hand-written files with one long literal or a small table come up to 0.53.
 CHANCE = 0.6
-HEADER_LINES, PIECE_LINES = 25, 8  # notices count in comments among so many first lines of the file, and of every piece
+#: Notices count in comments that begin among so many first lines of the file, and of every piece, and in all that follows
+#: of a comment which begins there.
+HEADER_LINES, PIECE_LINES = 25, 8
 
 # fixed values: places for third-party code, and names of tool output
 _PLACE = re.compile(
@@ -52,13 +54,15 @@ _TOOL = re.compile(
     r"|\bfichier (?:est|a été) (?:produit|généré|créé).{0,60}(?:ne pas|automatiquement)|\bne pas (?:le )?modifier à la main|\barchivo (?:fue |ha sido )?generado|\bno (?:lo )?(?:edite|modifique|editar|modificar)\b.{0,20}\bmano|\bnicht von hand (?:ändern|bearbeiten)"
     r"|automatisch (?:erzeugt|generiert)|généré automatiquement|generado automáticamente|сгенерирован автоматически|自動生成|自动生成"
 )
-_BUILT = re.compile(r"/\*!? ?built [\dT:-]{6,}|(?://|/\*)[#@] ?sourceMappingURL=")
+_BUILT = re.compile(r"/\*!? ?built [\dT:-]{6,}")
+_MAPPED = re.compile(r"(?:^|(?<=[;})\s]))(?://|/\*)[#@] ?sourceMappingURL=[^\s'\"`]+\s*(?:\*/)?\s*$", re.M)  # ends a file or a part of it
 _ORIGIN = re.compile(
     r"(?i)\b(?:copied|vendored|imported|taken|adapted|forked|ported) (?:verbatim |unmodified )?from ([\w.@/-]+)"
     r"|\bpart of ([\w.-]+),? (?:version|v)\W?\d|\bupstream(?: project)?: ?([\w.-]+)@?|\bSPDX-License-Identifier: ?(?:LicenseRef-)?([\w.-]+)"
     r"|^\W*([\w.-]+) v?\d+\.\d+[\d.]* *(?:\||-|–|\().*(?:\(c\)|copyright|licen[cs]e|https?://)|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})?,? (?:the )?([\w.-]+) (?:authors|contributors|developers|project)\b|\bdistributed unmodified\b"
 )
 _COMMENT = re.compile(r"^\s*(?://+!?|#+|/\*+!?|\*+(?!/)|--|;+|<!--|\"{3}|'{3}|%|- )")
+_NO_HEADER = re.compile(r"\s*(?:- |#\s*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|import|region)\b)")  # like comments, but no header
 _BLOCK = re.compile(r"/\*.*?\*/", re.S)
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
@@ -89,20 +93,29 @@ def notices(text: str, start_line: int, project: str) -> tuple[bool, bool, bool]
     room = max(HEADER_LINES - start_line + 1, PIECE_LINES)
     if not text:
         return False, False, False
-    if _BUILT.search(text[:400]):
+    if _BUILT.search(text[:400]) or "sourceMappingURL" in text and _MAPPED.search(text):
         tool = True
-    inside = False
-    for line in text[:8000].split("\n")[:room]:
+    inside, quoted, leading = False, False, True
+    for number, line in enumerate(text.split("\n")):
+        # past the first lines only what still belongs to a comment from there: an open one, or comment lines without code between
+        # (where a piece begins within a file, a lone triple quote may as well close a text as open one)
+        if number >= room and not (inside and (start_line <= 1 or not quoted) or leading):
+            break
+        begun = inside
         comment = inside or bool(_COMMENT.match(line))
         if line.count('"""') % 2 or line.count("'''") % 2:
-            inside = not inside
+            inside = quoted = not inside
         elif "/*" in line:
             comment, inside = comment or line.lstrip().startswith("/*"), "*/" not in line.split("/*")[-1]
         elif "*/" in line:
             inside = False
-        if not comment:
+        leading = leading and (comment and (begun or not _NO_HEADER.match(line)) or not line.strip())
+        if not comment or number >= room and not (begun or leading):
             continue
-        line = line[:400]
+        if len(line) > 400 and (begun or line.lstrip().startswith("/*")) and "*/" in line:
+            line = line[: max(400, line.index("*/"))]  # code may follow the comment
+        if _BUILT.search(line):
+            tool = True
         if _TOOL.search(line):
             tool = True
         for m in _ORIGIN.finditer(re.sub(r"^\s*(?://+!?|#+|/\*+!?|\*+|--|;+|<!--|- )\s*", "", line)):
@@ -123,8 +136,9 @@ def _same_family(name: str, own: str) -> bool:
 
 def measure(text: str) -> dict[str, float]:
     """Sums of one piece. Comment lines that hold a notice are left out."""
-    lines = text.replace("\r\n", "\n").split("\n")
-    kept = [x for x in lines if not (_COMMENT.match(x) and (_TOOL.search(x[:400]) or _ORIGIN.search(x[:400]) or re.search(r"(?i)copyright|licen[sc]e", x[:400])))]
+    text = text.replace("\r\n", "\n")
+    lines = (_MAPPED.sub("", text) if "sourceMappingURL" in text else text).split("\n")
+    kept = [x for x in lines if not (_COMMENT.match(x) and (_TOOL.search(x) or _ORIGIN.search(x) or re.search(r"(?i)copyright|licen[sc]e", x)))]
     text = _BLOCK.sub(lambda m: "" if re.search(r"(?i)built \d|licen[sc]e|copyright|upstream|copied from|part of", m[0][:400]) else m[0], "\n".join(kept))
     lines = text.split("\n")
     solid = [x for x in lines if x.strip()]

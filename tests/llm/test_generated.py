@@ -63,6 +63,23 @@ def test_notices(text, want):
     assert G.notices(text, 1, "https://h.example/group/own.git") == want
 
 
+LICENCE = "".join(f" * Term {n} of the permissions granted to whoever reads along.\n" for n in range(200))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("var a=1;" * 200 + "\n//# sourceMappingURL=a.js.map\n", (True, False, False)), ("a{b:c}" * 200 + "/*# sourceMappingURL=a.css.map */", (True, False, False)),
+        ("/*\n" + LICENCE + " * Copied from lib 6.4.5 (upstream commit edb34253f141).\n */\nx", (False, True, False)), ("# Terms of use, line by line.\n" * 40 + "\n# Code generated by x v4. DO NOT EDIT.\nf()", (True, False, False)),
+        ("/*! " + "words of a banner " * 40 + "Code generated by x v4. DO NOT EDIT. */ f()", (True, False, False)), ("// " + "words of a banner " * 40 + "copied from lib 6.4.5", (False, True, False)),
+        ("x = 1\n" * 100 + "out.write('//# sourceMappingURL=' + name)", (False, False, False)), ("/*! short */" + "f(1);" * 200 + "g('copied from lib')", (False, False, False)),
+        ("# a\n" + "x = 1\n" * 40 + "# Code generated by x v4. DO NOT EDIT.", (False, False, False)), ("- a point\n" * 40 + "- Code generated by x v4. DO NOT EDIT.", (False, False, False)),
+    ],
+)
+def test_notices_beyond_the_first_lines(text, want):
+    assert G.notices(text, 1, "https://h.example/group/own.git") == want
+
+
 def test_places_and_names(spark):
     rows = [("vendor/x/a.go", True), ("src/third_party/a.py", True), ("node_modules/a/b.js", True), ("src/vendor_payouts/a.py", False), ("shop/vendors/a.py", False), ("package-lock.json", True), ("a/x.min.css", True), ("src/a-1a2b3c4d.js", True), ("a/b.tab.c", True), ("tools/codegen/a.py", False)]
     text = hand(random.Random(0))
