@@ -1,6 +1,6 @@
 """Filling fixed-capacity containers: hierarchical residual packing.
 
-Every partition packs its items by best fit, largest first, and emits the nearly full bins. The bins left underfull go up
+Items are mixed by hash first, so that kinds stored apart meet. Every partition packs its items by best fit, largest first, and emits the nearly full bins. The bins left underfull go up
 a tree as items of their own: several partitions' rests meet in one node, are packed again by best fit, and so on to the
 root. No item is ever split unless it alone exceeds the capacity.
 """
@@ -18,12 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.session import shuffle_partitions
+
 CAPACITY = 2_048
 #: A bin is nearly full from this share of the capacity on.
 FULL = 0.98
 #: Items packed at a time within a partition, and children of a tree node.
 BATCH, FAN_IN = 20_000, 8
-#: Underfull bins that a node hands up; those beyond are the fullest ones and are closed as they are.
+#: Underfull bins that a node hands up; those beyond are the fullest ones and are closed as they are. In mixed batches of 20,000
+#: a kind exceeds what fits it by chance by some hundred at most, far less than this; more than that has no partner anywhere.
 HAND_UP = 512
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _PIECES = "doc_id string, piece_no int, n_pieces int, char_start int, char_end int, n_tokens int"
@@ -152,7 +155,10 @@ def pack(documents: DataFrame, stage: Callable[[DataFrame, str], DataFrame], cap
         return merge
 
     items = measure(documents, capacity, tokenizer)
-    bins = stage(items.mapInPandas(leaf, _BINS), "packing-0")
+    # the row number spreads repeated rows, too; sorting mixes the batches within a partition
+    mixed = items.withColumn("h", F.xxhash64("doc_id", "piece_no", "n_tokens", F.monotonically_increasing_id()))
+    mixed = mixed.repartition(shuffle_partitions(documents.sparkSession), "h").sortWithinPartitions("h").drop("h")
+    bins = stage(mixed.mapInPandas(leaf, _BINS), "packing-0")
     levels, level = [bins.where("closed")], 0
     open_bins = bins.where("not closed")
     nodes = bins.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0] + 1

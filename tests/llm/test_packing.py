@@ -61,6 +61,13 @@ def test_the_tree_has_several_levels(spark, monkeypatch):
     assert len({c.split("-")[0] for c in loads}) >= 2
 
 
+def test_kinds_stored_apart_fill_each_other(spark):
+    rows = [(n, "word " * (58 if n < 1500 else 38)) for n in range(3000)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(2)
+    loads = check(rows, P.pack(df, stage_table, capacity=100).collect(), 100)
+    assert sum(loads.values()) >= 0.93 * 100 * len(loads)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60))
 def test_best_fit(sizes):
