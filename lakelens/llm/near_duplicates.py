@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.6, 3, 20
 #: Independent trees. At a similarity equal to the threshold one tree keeps a pair to depth 2 with probability 0.62 and to
-#: depth 4 with 0.46, so fourteen miss it with 0.000001 and 0.0002.
+#: depth 4 with 0.46, so fourteen miss it with 0.000001 and 0.0002. Deeper nodes lose more (one tree keeps 0.21 to depth 14),
+#: so none is branched beyond depth 4.
 TREES = 14
 FUNCTIONS = 88  # minwise functions of a sketch; six for the first two levels of each tree
 #: Classes that a node may hold to be compared exhaustively; depth at which crowded nodes are compared in blocks.
-NODE, DEPTH = 48, 14
+NODE, DEPTH = 48, 4
 _SLACK = 0.21  # four standard deviations of the sketch's estimate at the threshold
 _MASK = (1 << 64) - 1
 _RECORD = "pos long, h1 long, h2 long, n int, sketch binary"

@@ -72,6 +72,12 @@ def test_a_hot_group_and_crowded_nodes(spark, monkeypatch):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+def test_recall_at_the_threshold_within_a_hot_group(spark):
+    shared = [f"w{n}" for n in range(300)]
+    texts = [(k, " ".join(shared + [f"u{k}_{n}" for n in range(96)])) for k in range(400)]  # every pair has similarity 0.603
+    assert N.similar_rows(frame(spark, texts), stage_table).count() >= 0.995 * 400 * 399 / 2
+
+
 def test_groups_are_components(spark):
     words = [f"w{n}" for n in range(100)]
     chain = [(n, " ".join(words[: 100 - 12 * n] + [f"x{n}_{k}" for k in range(12 * n)])) for n in range(5)]
