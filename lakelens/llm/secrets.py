@@ -19,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4  # layers of encoding that are opened
-
 
 class Hit(NamedTuple):
     start: int
@@ -60,8 +58,14 @@ _STAND_IN = re.compile(
     r"|(?:your|my|our|the|some|insert|enter|replace|put|add|fill|use|dummy|fake|example|sample|todo|tbd|fixme)(?:[_ -]?[a-z]+)*(?:[_-]?(?:here|\d{1,3}))?|abc123|123456\d*|secret123|password\d{0,4}|hunter2)$"
 )
 _CONFIG = re.compile(r"(?:^|/)(?:\.env[^/]*|\.netrc|\.npmrc|\.pypirc|dockerfile|[^/]*\.(?:env|ya?ml|sh|bash|zsh|ini|cfg|conf|config|properties|toml|md|rst|txt|tfvars))$", re.I)
-_LITERAL = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}|(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}){6,}|(?:[A-Za-z0-9._~+/=:@-]*%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:@-]*){2,}")
+_LITERAL = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
+#: A run of plain characters and escapes; begun at its first character only, so that long runs are read once.
+_ESCAPED = re.compile(r"(?<![A-Za-z0-9._~+/=:@%\\-])(?:[A-Za-z0-9._~+/=:@-]++|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4})++")
+_JWK = re.compile(r"\{[^{}]*\"kty\"[^{}]*\}")
+_JWK_PART = re.compile(r"\"(?:d|k)\"\s*:\s*\"([A-Za-z0-9_-]{16,})\"")
 _HEX = re.compile(r"(?:[0-9a-f]{2}){10,}|(?:[0-9A-F]{2}){10,}")
+_QUOTE, _BARE = re.compile(r"(?:[frbu]{1,2})?(\\?[\"'`])"), re.compile(r"[^\s\"'`,;)}\]<>|]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_.\-\s]+")
 
 
@@ -127,17 +131,18 @@ def _named(text: str, config: bool) -> Iterator[Hit]:
         if not kind:
             continue
         at = m.end()
-        q = re.compile(r"(?:[frbu]{1,2})?(\\?[\"'`])").match(text, at)
+        q = _QUOTE.match(text, at)
         if q:
-            end = text.find(q[1], q.end())
-            if end > q.end() and "\n" not in text[q.end() : end] and _fits(kind, text[q.end() : end]):
+            line_end = text.find("\n", at)
+            end = text.find(q[1], q.end(), line_end if line_end >= 0 else len(text))
+            if end > q.end() and _fits(kind, text[q.end() : end]):
                 yield Hit(q.end(), end, "named")
             continue
         if m[1].strip() == ",":
             continue
         line = text.rfind("\n", 0, a) + 1
         if config or _COMMENT.match(text[line:a]):
-            v = re.compile(r"[^\s\"'`,;)}\]<>|]+").match(text, at)
+            v = _BARE.match(text, at)
             if v and _fits(kind, v[0]) and (config or looks_random(v[0])):
                 yield Hit(v.start(), v.end(), "named")
 
@@ -152,43 +157,155 @@ def _prose(text: str, config: bool) -> Iterator[Hit]:
             yield Hit(m.start(1), m.start(1) + len(value), "prose")
 
 
-def _der(data: bytes, at: int) -> tuple[int, int, int] | None:
-    """(tag, content start, content end) of the element at a place."""
-    if at + 2 > len(data):
-        return None
-    tag, n, at = data[at], data[at + 1], at + 2
-    if n & 0x80:
-        width = n & 0x7F
-        if not 1 <= width <= 4 or at + width > len(data):
+# fixed values: object identifiers (as their DER contents) of private key algorithms, of password-based encryption and of PKCS#12 contents
+_KEY_ALGORITHMS = {
+    bytes.fromhex("2a864886f70d010101"): "rsa", bytes.fromhex("2a864886f70d01010a"): "rsa", bytes.fromhex("2a8648ce3d0201"): "ec", bytes.fromhex("2a8648ce380401"): "integer",
+    bytes.fromhex("2a864886f70d010301"): "integer", bytes.fromhex("2b656e"): "octets", bytes.fromhex("2b656f"): "octets", bytes.fromhex("2b6570"): "octets", bytes.fromhex("2b6571"): "octets",
+}
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_PFX_CONTENTS = (bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010702"))
+_INTEGER, _BITS, _OCTETS, _NULL, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x05, 0x06, 0x30
+
+
+def _elements(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, content start, content end) of the DER elements that fill a range exactly; None where they do not."""
+    out, end = [], len(data) if end is None else end
+    while at < end:
+        if at + 2 > end:
+            return None
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            width = n & 0x7F
+            if not 1 <= width <= 4 or at + width > end or data[at] == 0:
+                return None
+            n, at = int.from_bytes(data[at : at + width], "big"), at + width
+            if n < 0x80:  # not the shortest form
+                return None
+        if at + n > end:
             return None
-        n, at = int.from_bytes(data[at : at + width], "big"), at + width
-    return (tag, at, at + n) if at + n <= len(data) else None
+        out.append((tag, at, at + n))
+        at += n
+    return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """Whether bytes are a private key container: PKCS#1, SEC1, PKCS#8 (plain or encrypted) or the OpenSSH format."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    top = _der(data, 0)
-    if not top or top[0] != 0x30 or top[2] != len(data):
+def _sequence(data: bytes) -> list[tuple[int, int, int]] | None:
+    """The elements of bytes that are one DER sequence from first to last."""
+    top = _elements(data)
+    return _elements(data, top[0][1], top[0][2]) if top and len(top) == 1 and top[0][0] == _SEQUENCE else None
+
+
+def _small(data: bytes, part: tuple[int, int, int]) -> int:
+    """The value of a one-byte integer; -1 for anything else."""
+    return data[part[1]] if part[0] == _INTEGER and part[2] - part[1] == 1 else -1
+
+
+def _rsa_or_dsa(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version and whole numbers: eight of RSA, whose modulus is the product of its primes, or five of DSA."""
+    version = _small(data, parts[0])
+    if version == 1 and len(parts) == 10 and parts[9][0] == _SEQUENCE:
+        parts = parts[:9]  # further primes
+    if version not in (0, 1) or len(parts) not in (6, 9) or any(t != _INTEGER or b <= a for t, a, b in parts):
+        return False
+    n, *rest = (int.from_bytes(data[a:b], "big") for _, a, b in parts[1:])
+    if len(parts) == 6:
+        return n.bit_length() >= 512 and all(0 < x < n for x in rest)
+    return n.bit_length() >= 256 and (version == 1 or rest[2] * rest[3] == n)
+
+
+def _sec1(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version 1, the secret octets, then a curve and a public point, if any, under their context tags."""
+    if len(parts) < 2 or _small(data, parts[0]) != 1 or parts[1][0] != _OCTETS or not 16 <= parts[1][2] - parts[1][1] <= 72:
+        return False
+    tags = [t for t, _, _ in parts[2:]]
+    if tags != sorted(set(tags)) or any(t not in (0xA0, 0xA1) for t in tags):
+        return False
+    inner = [_elements(data, a, b) for _, a, b in parts[2:]]
+    return all(x and len(x) == 1 and x[0][0] == (_BITS if t == 0xA1 else x[0][0]) and x[0][0] in (_BITS, _OID, _SEQUENCE) for t, x in zip(tags, inner))
+
+
+def _pkcs8(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version, a known algorithm, and octets that hold a key of that algorithm."""
+    if len(parts) < 3 or _small(data, parts[0]) not in (0, 1) or parts[1][0] != _SEQUENCE or parts[2][0] != _OCTETS or any(t not in (0xA0, 0xA1, 0x81) for t, _, _ in parts[3:]):
+        return False
+    algorithm = _elements(data, parts[1][1], parts[1][2])
+    if not algorithm or algorithm[0][0] != _OID:
+        return False
+    kind, key = _KEY_ALGORITHMS.get(data[algorithm[0][1] : algorithm[0][2]]), data[parts[2][1] : parts[2][2]]
+    inner = _sequence(key)
+    if kind in ("rsa", "ec"):
+        return bool(inner) and (_rsa_or_dsa if kind == "rsa" else _sec1)(key, inner)
+    one = _elements(key)
+    return bool(kind and one and len(one) == 1 and one[0][0] == (_INTEGER if kind == "integer" else _OCTETS) and one[0][2] - one[0][1] >= 16)
+
+
+def _encrypted(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """An algorithm of password-based encryption with its parameters, and whole cipher blocks."""
+    if len(parts) != 2 or parts[0][0] != _SEQUENCE or parts[1][0] != _OCTETS:
+        return False
+    algorithm, size = _elements(data, parts[0][1], parts[0][2]), parts[1][2] - parts[1][1]
+    known = algorithm and len(algorithm) == 2 and algorithm[0][0] == _OID and algorithm[1][0] == _SEQUENCE
+    return bool(known and data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED) and size >= 32 and size % 8 == 0)
+
+
+def _pfx(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """PKCS#12: version 3, contents of a known type under an explicit tag, and a check value, if any."""
+    if len(parts) not in (2, 3) or _small(data, parts[0]) != 3 or any(t != _SEQUENCE for t, _, _ in parts[1:]):
+        return False
+    content = _elements(data, parts[1][1], parts[1][2])
+    return bool(content and len(content) == 2 and content[0][0] == _OID and data[content[0][1] : content[0][2]] in _PFX_CONTENTS and content[1][0] == 0xA0 and _elements(data, content[1][1], content[1][2]))
+
+
+def _openssh(data: bytes) -> bool:
+    """The fields of the OpenSSH format: cipher, key derivation, public keys, and a private part that fills the rest."""
+    magic, fields = b"openssh-key-v1\0", []
+    if not data.startswith(magic):
+        return False
+    at = len(magic)
+
+    def string() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    for _ in range(3):
+        fields.append(string())
+    count = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if None in fields or not 1 <= count <= 16:
         return False
-    first = _der(data, top[1])
-    second = _der(data, first[2]) if first else None
-    if not second:
+    keys = [string() for _ in range(count)]
+    private = string()
+    if None in keys or not private or at != len(data) or not all(k[4:].startswith((b"ssh-", b"ecdsa-", b"sk-")) for k in keys):
         return False
-    if first[0] == 0x02 and first[2] - first[1] == 1:  # a version: PKCS#1 integers, PKCS#8 algorithm, SEC1 octets
-        return second[0] in (0x02, 0x30, 0x04)
-    algorithm = _der(data, first[1]) if first[0] == 0x30 else None  # encrypted PKCS#8; public keys hold a bit string
-    return bool(algorithm and algorithm[0] == 0x06 and second[0] == 0x04)
+    return fields[0] != b"none" and len(private) % 8 == 0 or private[:4] == private[4:8]
+
+
+def is_private_key(data: bytes) -> bool:
+    """Whether bytes are, from first to last, a private key container: PKCS#1, DSA, SEC1, PKCS#8 (plain or encrypted), PKCS#12 or OpenSSH.
+
+    Digests, public keys, certificates and other short sequences follow none of these grammars.
+    """
+    if data[:1] != b"\x30":
+        return _openssh(data)
+    parts = _sequence(data)
+    return bool(parts) and any(grammar(data, parts) for grammar in (_rsa_or_dsa, _sec1, _pkcs8, _encrypted, _pfx))
+
+
+def _unescaped(literal: str) -> bytes:
+    """Percent and backslash escapes of a literal opened, all else kept."""
+    out, at = [], 0
+    for m in _ESCAPE.finditer(literal):
+        out.append(literal[at : m.start()].encode())
+        out.append(unquote_to_bytes(m[0]) if m[0][0] == "%" else bytes([int(m[0][2:], 16)]) if m[0][1] == "x" else chr(int(m[0][2:], 16)).encode("utf-8", "surrogatepass"))
+        at = m.end()
+    return b"".join([*out, literal[at:].encode()])
 
 
 def _decoded(literal: str) -> Iterator[bytes]:
-    if "%" in literal:
-        yield unquote_to_bytes(literal)
-        return
-    if "\\" in literal:
-        yield re.sub(r"\\x|\\u00", "", literal).encode() and binascii.unhexlify(re.sub(r"\\x|\\u00", "", literal))
-        return
+    """What a run of base64 or hex characters may stand for."""
     if _HEX.fullmatch(literal):
         yield binascii.unhexlify(literal)
     body = literal.rstrip("=").replace("-", "+").replace("_", "/")
@@ -199,7 +316,26 @@ def _decoded(literal: str) -> Iterator[bytes]:
             return
 
 
-def _layers(text: str, config: bool, depth: int) -> Iterator[Hit]:
+def _as_text(data: bytes) -> str | None:
+    """Printable text in UTF-8, or in UTF-16 where every other byte is zero."""
+    wide = len(data) % 2 == 0 and len(data) > 8 and data[1::2].count(0) > len(data) * 3 // 8
+    try:
+        text = data.decode("utf-16-le" if wide else "utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text.isprintable() or all(c.isprintable() or c in "\r\n\t\ufeff" for c in text) else None
+
+
+def _holds(data: bytes) -> str:
+    """The rule by which decoded bytes hold a credential, at any depth of further layers; "" if they hold none."""
+    if is_private_key(data):
+        return "encoded key"
+    inner = _as_text(data)
+    return "encoded" if inner and any(True for _ in _scan(inner, True)) else ""
+
+
+def _layers(text: str) -> Iterator[Hit]:
+    """Encoded literals of a text that hold credentials. Every layer is shorter than the one it is in, so opening them ends."""
     signed = [m.span() for m in _JWT.finditer(text)] if ".eyJ" in text else []
     for m in _LITERAL.finditer(text):
         literal = m[0]
@@ -208,21 +344,16 @@ def _layers(text: str, config: bool, depth: int) -> Iterator[Hit]:
         k = bisect_right(signed, (m.start(), len(text))) - 1
         if k >= 0 and m.start() < signed[k][1]:
             continue
-        for data in _decoded(literal):
-            if is_private_key(data):
-                yield Hit(m.start(), m.end(), "encoded key")
-                break
-            try:
-                inner = data.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if inner.isprintable() or all(c.isprintable() or c in "\r\n\t" for c in inner):
-                if any(True for _ in _scan(inner, True, depth + 1)):
-                    yield Hit(m.start(), m.end(), "encoded")
-                    break
+        rule = next(filter(None, map(_holds, _decoded(literal))), "")
+        if rule:
+            yield Hit(m.start(), m.end(), rule)
+    if "%" in text or "\\x" in text or "\\u" in text:
+        for m in _ESCAPED.finditer(text):
+            if len(_ESCAPE.findall(m[0])) >= 2 and (rule := _holds(_unescaped(m[0]))):
+                yield Hit(m.start(), m.end(), rule)
 
 
-def _scan(text: str, config: bool, depth: int) -> Iterator[Hit]:
+def _scan(text: str, config: bool) -> Iterator[Hit]:
     if "PRIVATE KEY" in text:
         for m in _BLOCK.finditer(text):
             if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m[2])) >= 32:
@@ -242,13 +373,15 @@ def _scan(text: str, config: bool, depth: int) -> Iterator[Hit]:
                 yield Hit(m.start(1), m.end(1), rule)
     yield from _named(text, config)
     yield from _prose(text, config)
-    if depth < DEPTH:
-        yield from _layers(text, config, depth)
+    if '"kty"' in text:
+        for m in _JWK.finditer(text):
+            yield from (Hit(m.start() + part.start(1), m.start() + part.end(1), "key object") for part in _JWK_PART.finditer(m[0]))
+    yield from _layers(text)
 
 
 def find(text: str, path: str | None = None) -> list[Hit]:
     """Credentials of a text, in order, the widest of overlapping ones."""
-    hits = sorted(set(_scan(text, bool(path is not None and _CONFIG.search(path)), 0)), key=lambda h: (h.start, -h.end))
+    hits = sorted(set(_scan(text, bool(path is not None and _CONFIG.search(path)))), key=lambda h: (h.start, -h.end))
     kept: list[Hit] = []
     for h in hits:
         if kept and h.start < kept[-1].end:

@@ -56,18 +56,81 @@ def test_encoded_layers_are_opened_and_hidden_whole():
     assert values(f'blob = "{base64.b64encode(b"just some harmless words, and more").decode()}"') == []
 
 
-def test_binary_key_containers_are_read_by_their_grammar():
-    def der(tag, body):
-        size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
-        return bytes([tag]) + size + body
+def der(tag, *parts):
+    body = b"".join(parts)
+    width = (len(body).bit_length() + 7) // 8
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else bytes([0x80 | width]) + len(body).to_bytes(width, "big")) + body
 
-    pkcs1 = der(0x30, der(2, b"\0") + der(2, b"\x11" * 128) + der(2, b"\1\0\1"))
-    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86")) + der(4, pkcs1))
-    public = der(0x30, der(0x30, der(6, b"\x2a\x86")) + der(3, b"\0" * 64))
-    assert S.is_private_key(pkcs1) and S.is_private_key(pkcs8) and S.is_private_key(b"openssh-key-v1\0rest")
-    assert not S.is_private_key(public) and not S.is_private_key(pkcs8[:-1]) and not S.is_private_key(b"") and not S.is_private_key(b"\x30\x80")
-    literal = base64.b64encode(pkcs8).decode()
-    assert values(f'der = "{literal}"') == [literal]
+
+def whole(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+P, Q, E = 2**521 - 1, 2**607 - 1, 65537
+D = pow(E, -1, (P - 1) * (Q - 1))
+PKCS1 = der(0x30, whole(0), *map(whole, (P * Q, E, D, P, Q, D % (P - 1), D % (Q - 1), pow(Q, -1, P))))
+RSA, EC, ED25519 = (der(6, bytes.fromhex(x)) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570"))
+SEC1 = der(0x30, whole(1), der(4, b"\x37" * 32), der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))), der(0xA1, der(3, b"\0\4" + b"\x51" * 64)))
+PKCS8 = der(0x30, whole(0), der(0x30, RSA, der(5)), der(4, PKCS1))
+PBES2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(0x30), der(0x30)))
+PFX = der(0x30, whole(3), der(0x30, der(6, bytes.fromhex("2a864886f70d010701")), der(0xA0, der(4, b"\x30\0"))), der(0x30, der(4, b"mac")))
+OPENSSH = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(field(b"ssh-ed25519") + field(b"\7" * 32)) + field(b"\1\2\3\4" * 2 + field(b"ssh-ed25519") + b"\x19" * 97)
+
+
+@pytest.mark.parametrize(
+    "data", [PKCS1, SEC1, PKCS8, PFX, OPENSSH, der(0x30, whole(0), der(0x30, EC), der(4, SEC1)), der(0x30, whole(0), der(0x30, ED25519), der(4, der(4, b"\x44" * 32))), der(0x30, PBES2, der(4, b"\x5a" * 64))]
+)
+def test_binary_key_containers_are_read_by_their_grammar(data):
+    assert S.is_private_key(data) and not S.is_private_key(data[:-1]) and not S.is_private_key(data + b"\0")
+    for literal in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode(), data.hex(), base64.b64encode(base64.b64encode(data)).decode()):
+        assert values(f'der = "{literal}"') == [literal]
+
+
+DIGEST_INFO = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, b"\x3c" * 32))
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        DIGEST_INFO, bytes.fromhex("3006020101020102"), bytes.fromhex("300802010102010203"), b"openssh-key-v1\0junk", b"", b"\x30\x80", der(0x30, whole(0), whole(P * Q), whole(E)), der(0x30, whole(P * Q), whole(E)),
+        der(0x30, der(0x30, RSA, der(5)), der(3, b"\0" * 64)), der(0x30, whole(0), *map(whole, (P * Q, E, D, P, P, 1, 1, 1))), der(0x30, whole(0), der(0x30, der(6, b"\x2a\x03")), der(4, PKCS1)), der(0x30, whole(1), der(4, b"\1" * 8)),
+    ],
+)
+def test_digests_and_public_or_broken_sequences_are_no_keys(data):
+    assert not S.is_private_key(data)
+    assert values(f'blob = "{base64.b64encode(data + bytes(30)).decode()}"') == []
+    assert values(f'blob = "{base64.b64encode(data).decode()}"') == []
+
+
+@pytest.mark.parametrize("layers", [5, 9, 14])
+def test_layers_are_opened_to_the_last(layers):
+    literal = 'password = "Harbor!4012align"'
+    for _ in range(layers):
+        literal = base64.b64encode(literal.encode()).decode()
+    assert values(f'blob = "{literal}"') == [literal]
+    mixed = "".join(f"%{b:02x}" for b in base64.b64encode('password = "Harbor!4012align"'.encode("utf-16-le")))
+    assert values(f'blob = "{mixed}"') == [mixed]
+
+
+def test_mixed_escapes_and_key_objects():
+    literal = "pass\\x77ord\\x3dHarbor\\u00214012align\\x20ok"
+    assert values(f'blob = "{literal}"') == [literal]
+    secret = "Zx3" * 14
+    assert values('{"kty":"EC","crv":"P-256","x":"abc","d":"' + secret + '"}') == [secret]
+    assert values('{"kty":"EC","crv":"P-256","x":"' + secret + '"}') == []
+
+
+def test_long_runs_are_read_once():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a.b" * 200_000 + "%41", "\\x4" * 200_000, "%" * 300_000, "ab%zz" * 100_000, "token: '" * 50_000):
+        S.find(text, "a.py")
+    assert time.perf_counter() - began < 20
 
 
 @pytest.mark.parametrize("inner", ['{"auths":{"r.example":{"username":"u","password":"Harbor!4012align"}}}', '{"password":"Harbor!4012align"}', '{"type":"service_account","private_key":"' + KEY.replace("\n", "\\n") + '"}'])
@@ -85,8 +148,8 @@ def test_parts_of_signed_tokens_are_not_opened_one_by_one():
 
 
 def test_url_safe_literals_may_hold_two_underscores():
-    key = b"\x30\x15" + b"\x02\x01\0" + b"\x02\x08" + b"\x11\xff\xff\xff\xff\xff\xff\x11" + b"\x02\x06" + b"\x11" * 6
-    literal = base64.urlsafe_b64encode(key).decode()
+    key = der(0x30, whole(1), der(4, b"\1" + b"\xff" * 31))
+    literal = base64.urlsafe_b64encode(key).decode().rstrip("=")
     assert "__" in literal and values(f'blob = "{literal}"') == [literal]
     assert values("some_module__some_other_module__function_name(first__argument_of_the_call)") == []
 
