@@ -8,7 +8,7 @@ so bands below that count cannot hold one. The rest is verified by a banded alig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Q = 16
-#: Normalised characters of items held by one task at a time; more items are searched block by block.
+#: Normalised characters of items held by one task and by the driver at a time; more items are searched block by block.
 BLOCK_CHARS = 8_000_000
-_SLICE_CHARS = 1_000_000
-_ALIGNED = 2_000  # regions aligned at a time
+_SLICE_CHARS = 4_000_000
+_ALIGNED = 4_000_000  # item characters of regions aligned at a time, padded to the longest
+_HITS = 4_000_000  # shared q-grams expanded at a time
 _TABLE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
 FOUND = "doc_id long, item_id long, doc_start int, doc_end int, n_words int, n_edits int"
@@ -31,7 +32,7 @@ def words_joined(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " ")), F.lit(" "))
 
 
-def rolling(codes: np.ndarray, q: int = Q) -> np.ndarray:
+def rolling(codes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q-gram (q a power of two) at every position, by doubling."""
     h, power, width = codes.astype(np.uint64) + np.uint64(1), _BASE, 1
     while width < q:
@@ -44,61 +45,75 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _least_count(codes: np.ndarray, min_words: int, edits: int) -> int:
-    """Q-grams that any passage of ``min_words`` words of the item must share: by the item's own shortest passage."""
+def shortest_passage(codes: np.ndarray, min_words: int) -> int:
+    """Characters of the shortest passage of ``min_words`` words, with the spaces around it; 0 where the item has fewer words."""
     gaps = np.flatnonzero(codes == 32)
-    if len(gaps) <= min_words:
-        return 1 << 30
-    shortest = int((gaps[min_words:] - gaps[:-min_words]).min()) + 1
-    return max(1, shortest - edits - Q + 1 - edits * Q)
+    return int((gaps[min_words:] - gaps[:-min_words]).min()) + 1 if len(gaps) > min_words else 0
 
 
-class ItemIndex:
-    """Sorted q-grams of a bounded block of items, with a bit table in front."""
+def least_count(shortest: int, q: int, edits: int) -> int:
+    """The lemma: q-grams that any passage of so many characters must share at least, an edit away from the item included."""
+    return shortest - edits - q + 1 - edits * q
+
+
+def gram_length(shortest: int, edits: int) -> int:
+    """The longest q-gram, a power of two up to ``Q``, for which the lemma asks for one shared q-gram at least."""
+    q = Q
+    while q > 1 and least_count(shortest, q, edits) < 1:
+        q //= 2
+    return q
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int, edits: int):
-        self.ids = [i for i, _ in items]
-        self.codes = [_codes(t) for _, t in items]
-        grams = [rolling(c) for c in self.codes]
+
+class ItemIndex:
+    """Sorted q-grams of a bounded block of items, with a bit table in front. Items of one text are one entry."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, min_words: int, edits: int):
+        self.q = q
+        texts: dict[str, list[int]] = {}
+        for item_id, text in items:
+            texts.setdefault(text, []).append(item_id)
+        self.ids = list(texts.values())
+        self.codes = [_codes(t) for t in texts]
+        grams = [rolling(c, q) for c in self.codes]
         hashes = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order].astype(np.int64), place[order].astype(np.int64)
-        self.least = np.array([_least_count(c, min_words, edits) for c in self.codes])
+        self.least = np.array([least_count(shortest_passage(c, min_words), q, edits) for c in self.codes])
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in text, item, position in item) of every shared q-gram."""
-        h = rolling(codes)
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in text, item, position in item) of every shared q-gram, a bounded number at a time."""
+        h = rolling(codes, self.q)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         lo = np.searchsorted(self.hashes, h[at], "left")
         n = np.searchsorted(self.hashes, h[at], "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[entry], self.place[entry]
+        total, first = np.cumsum(n), 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + _HITS, "right")))
+            m, l = n[first:last], lo[first:last]
+            entry = np.repeat(l - np.cumsum(m) + m, m) + np.arange(m.sum())
+            yield np.repeat(at[first:last], m), self.item[entry], self.place[entry]
+            first = last
+
+
+def indexes(items: list[tuple[int, str]], min_words: int, edits: int) -> list[ItemIndex]:
+    """One index for each q-gram length that the items' shortest passages call for; items with fewer words are in none."""
+    by_length: dict[int, list[tuple[int, str]]] = {}
+    for item in items:
+        shortest = shortest_passage(_codes(item[1]), min_words)
+        if shortest:
+            by_length.setdefault(gram_length(shortest, edits), []).append(item)
+    return [ItemIndex(part, q, min_words, edits) for q, part in sorted(by_length.items())]
 
 
 def bands(diagonal: np.ndarray, edits: int) -> np.ndarray:
-    """Two overlapping bands for every diagonal: any ``edits + 1`` neighbouring diagonals share one."""
-    step = edits + 1
-    first = diagonal // step
-    return np.stack([first, first - 1]) if edits else first[None]
-
-
-def exact_stretch(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
-    """The stretch with most whole words in which text and item agree on one diagonal: (words, 0 edits, start, end)."""
-    a, b = max(0, -diagonal), min(len(item), len(text) - diagonal)
-    if b <= a:
-        return 0, 0, 0, 0
-    same = np.concatenate([[False], item[a:b] == text[a + diagonal : b + diagonal], [False]])
-    gaps = np.concatenate([[0], np.cumsum(item == 32)])
-    turns = np.flatnonzero(same[1:] != same[:-1]) + a
-    starts, ends = turns[::2], turns[1::2]
-    words = gaps[ends] - gaps[starts] - 1
-    k = int(words.argmax())
-    return int(words[k]), 0, int(starts[k]) + diagonal, int(ends[k]) + diagonal
+    """The two overlapping bands of 2 (edits + 1) diagonals that hold each one: any ``edits + 1`` neighbouring diagonals share one."""
+    first = diagonal // (edits + 1)
+    return np.stack([first, first - 1])
 
 
 def banded_stretches(codes: np.ndarray, regions: list[tuple[int, int, np.ndarray, int]], edits: int) -> list[tuple[int, int, int, int]]:
@@ -145,59 +160,72 @@ def banded_stretches(codes: np.ndarray, regions: list[tuple[int, int, np.ndarray
     return [(int(n), int(e), int(s) + low, int(t) + low) for (n, e, s, t), (_, _, _, low) in zip(best, regions)]
 
 
+def _counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, how often each occurs) of (n, 3) arrays of (row, item, band)."""
+    keys, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        both, n = np.concatenate([keys, part]), np.concatenate([counts, np.ones(len(part), np.int64)])
+        low, spans = both.min(axis=0, initial=0), [int(x) + 1 for x in both.max(axis=0, initial=0) - both.min(axis=0, initial=0)]
+        if spans[0] * spans[1] * spans[2] < 2**63:  # as one number, which sorts faster
+            code = ((both[:, 0] - low[0]) * spans[1] + both[:, 1] - low[1]) * spans[2] + both[:, 2] - low[2]
+            order = np.argsort(code, kind="stable")
+        else:
+            order = np.lexsort(both.T[::-1])
+        both, n = both[order], n[order]
+        fresh = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)]) if len(both) else np.zeros(0, np.int64)
+        keys, counts = both[fresh], np.add.reduceat(n, fresh) if len(fresh) else n[:0]
+    return keys, counts
+
+
 def _search(index: ItemIndex, texts: list[str], min_words: int, edits: int) -> Iterator[tuple]:
-    """(row, item position, start, end, words, edits) of every match in the texts."""
+    """(row, item id, start, end, words, edits) of every match in the texts."""
     codes = _codes("".join(texts))
     starts = np.cumsum([0, *map(len, texts)])
-    at, item, place = index.hits(codes)
-    row = np.searchsorted(starts, at, "right") - 1
-    inside = at + Q <= starts[row + 1]
-    at, item, place, row = at[inside], item[inside], place[inside], row[inside]
-    if not len(at):
-        return
-    band = bands(at - place - starts[row], edits)
-    # (row, item, band) as one number, so that one sort groups them
-    low, n_items = int(band.min()), len(index.ids)
-    n_bands = int(band.max()) - low + 1
-    if len(texts) * n_items * n_bands >= 2**63:
-        raise OverflowError("a slice of texts is too long for its items")
-    keys = np.sort(((row * n_items + item) * n_bands + (band - low)).ravel())
-    fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    counts = np.diff(np.r_[fresh, len(keys)])
-    group, kept_band = np.divmod(keys[fresh], n_bands)
-    kept = np.stack([*np.divmod(group, n_items), kept_band + low])
-    kept = kept[:, counts >= index.least[kept[1]]].T.tolist()
+
+    def keys() -> Iterator[np.ndarray]:
+        for at, item, place in index.hits(codes):
+            row = np.searchsorted(starts, at, "right") - 1
+            inside = at + index.q <= starts[row + 1]
+            at, item, place, row = at[inside], item[inside], place[inside], row[inside]
+            band = bands(at - place - starts[row], edits)
+            yield np.stack([np.tile(row, 2), np.tile(item, 2), band.ravel()], axis=1).astype(np.int64)
+
+    groups, counts = _counted(keys())
+    kept = sorted(groups[counts >= index.least[groups[:, 1]]].tolist(), key=lambda x: -len(index.codes[x[1]]))
     found: dict[tuple[int, int], tuple] = {}
-    if edits == 0:
-        results = (exact_stretch(codes[starts[r] : starts[r + 1]], index.codes[i], b) for r, i, b in kept)
-    else:
-        regions = [(int(starts[r]), int(starts[r + 1]), index.codes[i], b * (edits + 1)) for r, i, b in kept]
-        results = (x for k in range(0, len(regions), _ALIGNED) for x in banded_stretches(codes, regions[k : k + _ALIGNED], edits))
-    for (r, i, _), got in zip(kept, results):
-        if got[0] >= min_words and (got[0], -got[1]) > found.get((r, i), ((0, 0),))[0]:
-            found[r, i] = ((got[0], -got[1]), got)
+    first = 0
+    while first < len(kept):  # the longest come first, so regions aligned together are of like length
+        part = kept[first : first + max(1, _ALIGNED // len(index.codes[kept[first][1]]))]
+        regions = [(int(starts[r]), int(starts[r + 1]), index.codes[i], b * (edits + 1)) for r, i, b in part]
+        for (r, i, _), got in zip(part, banded_stretches(codes, regions, edits)):
+            if got[0] >= min_words and (got[0], -got[1]) > found.get((r, i), ((0, 0),))[0]:
+                found[r, i] = ((got[0], -got[1]), got)
+        first += len(part)
     for (r, i), (_, (n, e, s, t)) in found.items():
-        yield r, i, s, t, n, e
+        for item_id in index.ids[i]:
+            yield r, item_id, s, t, n, e
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, edits: int = 0) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, stage: Callable[[DataFrame, str], DataFrame], min_words: int = 12, edits: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents that share a passage of at least ``min_words`` consecutive words with an item.
 
-    documents: doc_id, text. items: item_id, text. With ``edits`` > 0 the passage may differ by so many character edits;
-    the lemma then needs passages of more than ``Q * (edits + 1)`` characters to be sure. Result: one row per (document
-    row, item) with the longest passage: place in the normalised text, words of the item in it, edits.
+    documents: doc_id, text. items: item_id, text. ``edits`` is the budget of character edits by which the passage may
+    differ; 0 runs through the same bands and alignment as any other. Items whose passages are too short for the lemma at
+    16 characters are searched by shorter q-grams, so the result is exact for every budget below half a passage. Result: one
+    row per (document row, item) with the longest passage: place in the normalised text, words of the item in it, edits.
 
     Map-only over the corpus, so hot sources and repeated texts cost nothing extra; each repeated row counts. NULL ids, NULL
     and empty texts match nothing; texts of any length are searched whole. Items are shipped in blocks of at most
-    ``BLOCK_CHARS`` characters (their sum is measured first); each block is one pass over the corpus.
+    ``block_chars`` characters on average (their sum is measured first). Each block is one pass over the corpus, written by
+    ``stage`` before the next block is gathered, so that neither driver nor tasks ever hold more than one.
     """
-    if 2 * min_words + 1 < Q:
-        raise ValueError(f"passages of {min_words} words may be shorter than a {Q}-gram")
+    if min_words < 1 or edits < 0 or least_count(2 * min_words + 1, 1, edits) < 1:
+        raise ValueError(f"{edits} edits may hide every character of a passage of {min_words} words")
     normal_items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), words_joined(F.col("text")).alias("t")
     )
     total = normal_items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_CHARS))
+    blocks = max(1, -(-total // block_chars))
     corpus = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words_joined(F.col("text")).alias("t"))
 
     def one_block(b: int) -> DataFrame:
@@ -205,7 +233,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, edits: in
         shipped = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.t) for r in mine.toLocalIterator()])
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(shipped.value, min_words, edits)
+            built = indexes(shipped.value, min_words, edits)
             for pdf in batches:
                 ids, texts = pdf["doc_id"].tolist(), pdf["t"].tolist()
                 size = np.cumsum([len(t) for t in texts])
@@ -213,11 +241,15 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, edits: in
                 while first < len(texts):
                     done = size[first - 1] if first else 0
                     last = max(first + 1, int(np.searchsorted(size, done + _SLICE_CHARS)))
-                    part = texts[first:last]
-                    rows += [(ids[first + r], index.ids[i], s, t, n, e) for r, i, s, t, n, e in _search(index, part, min_words, edits)]
+                    for index in built:
+                        rows += [(ids[first + r], item, *rest) for r, item, *rest in _search(index, texts[first:last], min_words, edits)]
                     first = last
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "doc_end", "n_words", "n_edits"])
 
-        return corpus.mapInPandas(search, FOUND)
+        found = corpus.mapInPandas(search, FOUND)
+        if blocks > 1:
+            found = stage(found, f"leaks-{b}")
+            shipped.destroy()
+        return found
 
     return reduce(DataFrame.unionByName, map(one_block, range(blocks)))

@@ -47,12 +47,12 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items")).select("doc_id", "item_id")
+    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items"), stage_table).select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 12 words with up to one character edit."""
-    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items"), edits=1)
+    return leakage.leaks(load_spread(spark, folder, "documents"), load(spark, folder, "bench_items"), stage_table, edits=1)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

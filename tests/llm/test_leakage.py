@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lakelens.llm import leakage as L
+from lakelens.session import stage_table
 
 DOCS, ITEMS = "doc_id long, text string, item_id string, t int", "item_id long, text string, doc_id int"
 
@@ -11,7 +13,7 @@ DOCS, ITEMS = "doc_id long, text string, item_id string, t int", "item_id long,
 def run(spark, docs, items, **more):
     d = spark.createDataFrame([(n, t, "x", 1) for n, t in docs], DOCS)
     i = spark.createDataFrame([(n, t, 3) for n, t in items], ITEMS)
-    return L.leaks(d, i, **more).collect()
+    return L.leaks(d, i, stage_table, **more).collect()
 
 
 def words(text):
@@ -56,8 +58,49 @@ def test_exact_passages_equal_brute_force(spark, seed):
 
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = corpus(4)
-    monkeypatch.setattr(L, "BLOCK_CHARS", 800)
-    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items)} == brute(docs, items)
+    monkeypatch.setattr(L, "_HITS", 7)
+    assert {(r.doc_id, r.item_id) for r in run(spark, docs, items, block_chars=800)} == brute(docs, items)
+
+
+def within(text, passage, edits):
+    """Whether some part of the text is at most so many edits from the passage: the plain algorithm over all ends."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row) <= edits
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_short_passages_with_edits_are_found_by_shorter_grams(spark, edits):
+    rng = random.Random(edits)
+    item = "a b c ab d e f g h ab i j k"
+    passages = [" " + " ".join(item.split()[k : k + 12]) + " " for k in range(2)]
+    docs, must = [], set()
+    for n in range(60):
+        text, made = list(rng.choice(passages).strip()), rng.randrange(0, 4)
+        for _ in range(made):
+            at = rng.randrange(1, len(text) - 1)
+            text[at : at + rng.choice([0, 1])] = rng.choice(["", "z", "q"])
+        docs.append((n, "zz " + "".join(text) + " yy"))
+        must |= {n} if made <= edits else set()
+    got = {r.doc_id for r in run(spark, docs, [(1, item)], edits=edits)}
+    may = {n for n, t in docs if any(within(" " + " ".join(words(t)) + " ", p, edits) for p in passages)}
+    assert must and must <= got <= may  # an edit on the space at either end of a passage does not count as within it
+    assert L.gram_length(L.shortest_passage(L._codes(" " + item + " "), 12), edits) == {0: 16, 1: 8, 2: 8}[edits]
+
+
+def test_keys_beyond_one_number_are_counted():
+    far = np.array([[2**62, 1, 5], [0, 2**40, -(2**61)], [2**62, 1, 5]])
+    keys, counts = L._counted(iter([far, far[:1]]))
+    assert keys.tolist() == [[0, 2**40, -(2**61)], [2**62, 1, 5]] and counts.tolist() == [1, 3]
+
+
+def test_too_many_edits_are_refused(spark):
+    with pytest.raises(ValueError, match="edits"):
+        run(spark, [(1, "x")], [(1, "y")], min_words=2, edits=3)
 
 
 def test_odd_rows(spark):
@@ -86,8 +129,8 @@ def test_small_edits_are_bridged(spark):
 def test_the_least_count_is_a_lower_bound():
     rng = random.Random(5)
     text = " " + " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(40)) + " "
-    index = L.ItemIndex([(1, text)], 12, 0)
+    index = L.ItemIndex([(1, text)], 16, 12, 0)
     gaps = [k for k, c in enumerate(text) if c == " "]
     for a, b in zip(gaps, gaps[12:]):
-        at, _, place = index.hits(L._codes(text[a : b + 1]))
+        at, _, place = next(index.hits(L._codes(text[a : b + 1])))
         assert sum(p - q == a for p, q in zip(place, at)) >= index.least[0]
