@@ -110,12 +110,6 @@ def indexes(items: list[tuple[int, str]], min_words: int, edits: int) -> list[It
     return [ItemIndex(part, q, min_words, edits) for q, part in sorted(by_length.items())]
 
 
-def bands(diagonal: np.ndarray, edits: int) -> np.ndarray:
-    """The two overlapping bands of 2 (edits + 1) diagonals that hold each one: any ``edits + 1`` neighbouring diagonals share one."""
-    first = diagonal // (edits + 1)
-    return np.stack([first, first - 1])
-
-
 def banded_stretches(codes: np.ndarray, regions: list[tuple[int, int, np.ndarray, int]], edits: int) -> list[tuple[int, int, int, int]]:
     """Per region (text start, text end, item, lowest diagonal) the stretch with most words of the item and at most ``edits`` edits.
 
@@ -160,38 +154,54 @@ def banded_stretches(codes: np.ndarray, regions: list[tuple[int, int, np.ndarray
     return [(int(n), int(e), int(s) + low, int(t) + low) for (n, e, s, t), (_, _, _, low) in zip(best, regions)]
 
 
-def _counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, how often each occurs) of (n, 3) arrays of (row, item, band)."""
-    keys, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-    for part in parts:
-        both, n = np.concatenate([keys, part]), np.concatenate([counts, np.ones(len(part), np.int64)])
-        low, spans = both.min(axis=0, initial=0), [int(x) + 1 for x in both.max(axis=0, initial=0) - both.min(axis=0, initial=0)]
-        if spans[0] * spans[1] * spans[2] < 2**63:  # as one number, which sorts faster
-            code = ((both[:, 0] - low[0]) * spans[1] + both[:, 1] - low[1]) * spans[2] + both[:, 2] - low[2]
-            order = np.argsort(code, kind="stable")
-        else:
-            order = np.lexsort(both.T[::-1])
-        both, n = both[order], n[order]
-        fresh = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)]) if len(both) else np.zeros(0, np.int64)
-        keys, counts = both[fresh], np.add.reduceat(n, fresh) if len(fresh) else n[:0]
-    return keys, counts
+def _distinct(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct codes, sums of their counts); codes are numbers, or rows of numbers."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable") if codes.ndim == 1 else np.lexsort(codes.T[::-1])
+    codes = codes[order]
+    changed = codes[1:] != codes[:-1]
+    first = np.flatnonzero(np.r_[True, changed if codes.ndim == 1 else changed.any(axis=1)])
+    return codes[first], np.add.reduceat(counts[order], first)
+
+
+def bands(groups: np.ndarray, counts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """(row, item, band) of the bands with enough hits, from sorted distinct (row, item, half) and their hits.
+
+    A half holds ``edits + 1`` neighbouring diagonals and a band two neighbouring halves, so bands overlap and any
+    ``edits + 1`` neighbouring diagonals lie in one band.
+    """
+    if not len(groups):
+        return groups
+    after = np.zeros(len(groups), bool)  # whether the next half follows at once, in the same row and item
+    after[:-1] = (groups[1:, :2] == groups[:-1, :2]).all(axis=1) & (groups[1:, 2] == groups[:-1, 2] + 1)
+    own = counts + np.where(after, np.r_[counts[1:], 0], 0)
+    alone = ~np.r_[False, after[:-1]]  # no hits in the half before: that band has this half's hits only
+    need = least[groups[:, 1]]
+    return np.concatenate([groups[own >= need], groups[alone & (counts >= need)] - np.array([0, 0, 1])])
 
 
 def _search(index: ItemIndex, texts: list[str], min_words: int, edits: int) -> Iterator[tuple]:
     """(row, item id, start, end, words, edits) of every match in the texts."""
     codes = _codes("".join(texts))
     starts = np.cumsum([0, *map(len, texts)])
-
-    def keys() -> Iterator[np.ndarray]:
-        for at, item, place in index.hits(codes):
-            row = np.searchsorted(starts, at, "right") - 1
-            inside = at + index.q <= starts[row + 1]
-            at, item, place, row = at[inside], item[inside], place[inside], row[inside]
-            band = bands(at - place - starts[row], edits)
-            yield np.stack([np.tile(row, 2), np.tile(item, 2), band.ravel()], axis=1).astype(np.int64)
-
-    groups, counts = _counted(keys())
-    kept = sorted(groups[counts >= index.least[groups[:, 1]]].tolist(), key=lambda x: -len(index.codes[x[1]]))
+    n_items, low = len(index.ids), max(map(len, index.codes), default=0) // (edits + 1) + 1
+    n_halves = low + int(starts[-1]) // (edits + 1) + 1
+    single = len(texts) * n_items * n_halves < 2**63  # (row, item, half) as one number, which sorts faster
+    seen, counts = np.zeros(0 if single else (0, 3), np.int64), np.zeros(0, np.int64)
+    for at, item, place in index.hits(codes):
+        row = np.searchsorted(starts, at, "right") - 1
+        inside = at + index.q <= starts[row + 1]
+        at, item, place, row = at[inside], item[inside], place[inside], row[inside]
+        half = (at - place - starts[row]) // (edits + 1) + low
+        new = (row * n_items + item) * n_halves + half if single else np.stack([row, item, half], axis=1)
+        more = _distinct(new, np.ones(len(new), np.int64))
+        seen, counts = more if not len(seen) else _distinct(np.concatenate([seen, more[0]]), np.concatenate([counts, more[1]]))
+    if single:
+        group, half = np.divmod(seen, n_halves)
+        seen = np.stack([*np.divmod(group, n_items), half], axis=1)
+    groups = bands(seen - np.array([0, 0, low]), counts, index.least)
+    kept = sorted(groups.tolist(), key=lambda x: -len(index.codes[x[1]]))
     found: dict[tuple[int, int], tuple] = {}
     first = 0
     while first < len(kept):  # the longest come first, so regions aligned together are of like length

@@ -88,16 +88,24 @@ def test_short_passages_with_edits_are_found_by_shorter_grams(spark, edits):
         must |= {n} if made <= edits else set()
     got = {r.doc_id for r in run(spark, docs, [(1, item)], edits=edits)}
     may = {n for n, t in docs if any(within(" " + " ".join(words(t)) + " ", p, edits) for p in passages)}
-    assert must and must <= got <= may  # an edit on the space at either end of a passage does not count as within it
+    # an edit on the space at either end of a passage does not count as within it, and a word that goes takes its space along
+    assert must & may and must & may <= got <= may
     assert L.gram_length(L.shortest_passage(L._codes(" " + item + " "), 12), edits) == {0: 16, 1: 8, 2: 8}[edits]
 
 
 def test_keys_beyond_one_number_are_counted():
     far = np.array([[2**62, 1, 5], [0, 2**40, -(2**61)], [2**62, 1, 5]])
-    keys, counts = L._counted(iter([far, far[:1]]))
+    keys, counts = L._distinct(far, np.array([1, 1, 2]))
     assert keys.tolist() == [[0, 2**40, -(2**61)], [2**62, 1, 5]] and counts.tolist() == [1, 3]
 
 
+def test_bands_overlap_by_half():
+    halves = np.array([[0, 0, 4], [0, 0, 5], [0, 0, 9], [1, 0, 10]])
+    got = L.bands(halves, np.array([3, 4, 6, 7]), np.array([6]))
+    assert sorted(map(tuple, got.tolist())) == [(0, 0, 4), (0, 0, 8), (0, 0, 9), (1, 0, 9), (1, 0, 10)]
+    assert len(L.bands(halves[:0], np.zeros(0, np.int64), np.array([6]))) == 0
+
+
 def test_too_many_edits_are_refused(spark):
     with pytest.raises(ValueError, match="edits"):
         run(spark, [(1, "x")], [(1, "y")], min_words=2, edits=3)
