@@ -1,8 +1,9 @@
-"""Template residue, filler and error-page text: recurring messages by masked hashes, classified by rules.
+"""Template residue, filler and error-page text: masked messages grouped across sources, groups classified by rules.
 
-Texts are cut into segments (lines and sentences) outside quoted code. A segment with any sign of a message (a phrase or a
-placeholder) is masked (numbers, addresses, dates, names), hashed and counted over all documents and sources. Clear forms
-are residue wherever they stand; a vaguer message is residue only where its exact masked form recurs across sources.
+Texts are cut into segments (lines and sentences) outside quoted code. Segments that hold anything a rule could match are
+masked (numbers, addresses, dates, names) and grouped by the exact hash of what is left; a group is counted over all
+documents and sources. Only then are the groups classified, once for each distinct wording: a widely recurring message by
+all phrase and placeholder rules, one that does not recur by those forms alone that are residue wherever they stand.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from re import _parser
 import ahocorasick
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A vague message is residue from so many sources (documents without a source count as one source) on.
 WIDE = 3
+_SHARES = 8  # parts of a message's documents that meet its verdict apart
 CODE = re.compile(
     r"\.(?:py|pyi|js|mjs|jsx|ts|tsx|go|java|kt|rs|rb|cs|c|h|cc|cpp|hpp|php|swift|scala|sh|bash|sql|css|scss|html?|vue|lua|pl|r|ya?ml|toml|json|xml|ini|cfg|env|tf|proto|gradle|tmpl|j2|jinja|tpl|erb|hbs|mustache)$", re.I
 )
@@ -71,7 +73,12 @@ _VAGUE = re.compile(r"(?i)\b(?:error|erreur|fehler|denied|forbidden|unavailable|
 # text of an author about such things
 _ABOUT = re.compile(r"(?i)\b(?:we|i|our|users?|nobody|because|retried|retries|since|until|whenever|when|if|answers?|sends?|returns? (?!at)|logs?|rejects?|replaced|dropped|fixtures?|tests?|reports? (?:such|that|an?)|gives up|works without|only for|reviewers?|in version|instead of|should)\b")
 _NOTE = re.compile(r"^\W*(?:todo|fixme|xxx|hack|note)\b(?!.*\b(?:your|insert)\b)", re.I)
-_LATIN = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|fugiat|caputel|sediam|velanto)\b")
+_LATIN = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|fugiat|eiusmod|incididunt|aliqua)\b")
+_DUMMY, _FUNCTION_WORDS = re.compile(r"(?i)\b(?:lorem|ipsum)\b"), re.compile(r"(?i)\b(?:the|of|to|is|are|was|were|and|or|for|with|by|this|that|be|not|from|but|it|as)\b")
+#: Words from which on a segment around ``lorem`` or ``ipsum`` without any function word is filler, whatever its other words.
+_FILLER_WORDS = 6
+# fixed values: words of those who report on a server's message
+_REPORTED = re.compile(r"(?i)\b(?:because|since|until|retr(?:ies|ied)|we (?:saw|see|got|get)|users?|customers?|reviewers?|gives? up|lists|fixtures?)\b")
 _REPEATED = re.compile(r"\b(\w{3,12})[ ,.]+\1\b[ ,.]+\1\b")
 # fixed values: alternatives of rules (by their beginnings) that hold no fixed words, or too common ones, and the shapes looked for instead
 _SHAPED = (
@@ -247,6 +254,13 @@ def _marked_up(line: str) -> Iterator[str]:
             yield from sentences
 
 
+def _latin(segment: str) -> bool:
+    """Three words of the classic filler text, or one of its first two in prose without any function word."""
+    if len(set(x.lower() for x in _LATIN.findall(segment))) >= 3:
+        return True
+    return bool(_DUMMY.search(segment)) and len(segment.split()) >= _FILLER_WORDS and not _FUNCTION_WORDS.search(segment)
+
+
 def classify(segment: str) -> str:
     """"template", "filler", "error", "script" for clear residue, "vague" for a possible message, "" otherwise."""
     if _NOTE.match(segment):
@@ -256,52 +270,63 @@ def classify(segment: str) -> str:
     quoted = _QUOTED in segment
     if not quoted and _BLANKS.search(segment):
         return "template"
-    if not quoted and (_FILLER.search(segment) or len(set(x.lower() for x in _LATIN.findall(segment))) >= 3):
+    if not quoted and (_FILLER.search(segment) or _latin(segment)):
         return "filler"
     about = quoted or bool(_ABOUT.search(segment))
     if not quoted and _SCRIPTS.search(segment) and not (about and not re.search(r"(?i)<noscript|(?:your|this) browser|this (?:page|site|app|viewer)", segment)):
         return "script"
-    if not quoted and _SERVER.search(segment) and not re.search(r"(?i)\b(?:because|retried|retries|we saw|users of|since monday|gives up|still lists|reviewers|fixtures?)\b", segment):
+    if not quoted and _SERVER.search(segment) and not _REPORTED.search(segment):
         return "error"
     return "vague" if not about and _VAGUE.search(segment) else ""
 
 
-def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _segments_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, source, text in zip(pdf["doc_id"].tolist(), pdf["source"].tolist(), pdf["text"].tolist()):
-            seen = set()
-            for segment in segments(without_code(text)):
-                kind = classify(segment)
-                if kind:
-                    h = xxhash.xxh64_intdigest(masked(segment)) - (1 << 63)
-                    if (h, kind) not in seen:
-                        seen.add((h, kind))
-                        rows.append((doc, source, kind, h))
-        yield pd.DataFrame(rows, columns=["doc_id", "source", "kind", "message"])
+            for segment in dict.fromkeys(segments(without_code(text))):
+                rows.append((doc, source, xxhash.xxh64_intdigest(masked(segment)) - (1 << 63), xxhash.xxh64_intdigest(segment) - (1 << 63), segment))
+        yield pd.DataFrame(rows, columns=["doc_id", "source", "message", "wording", "segment"])
 
 
-def signs(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, message): every segment with a sign of residue; message is the hash of its masked form.
+def messages(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, message, wording, segment): the segments that a rule could match, not classified yet.
 
-    Source files and NULL or empty texts have none.
+    message is the hash of the masked form, wording that of the segment. Source files and NULL or empty texts have none.
     """
     code = (F.coalesce(F.col("doc_kind") == "source", F.lit(False))) | F.coalesce(F.col("path").rlike(f"(?i){CODE.pattern}"), F.lit(False))
     prose = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~code)
-    return prose.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(_signs, "doc_id long, source string, kind string, message long")
+    return prose.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(_segments_of, "doc_id long, source string, message long, wording long, segment string")
+
+
+def _classified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pdf = pdf.assign(kind=[classify(s) for s in pdf["segment"]])
+        yield pdf.loc[pdf["kind"] != "", ["message", "wording", "kind", "sources"]]
+
+
+def judged(found: DataFrame, wide: int = WIDE) -> DataFrame:
+    """(message, wording, kind, sources): the wordings that are residue, with the number of sources that hold their message.
+
+    Grouping comes first: messages are counted over distinct sources, and every distinct wording is classified once. A
+    vague wording is residue where its message recurs in ``wide`` sources or has a wording of a clear kind.
+    """
+    spread = found.groupBy("message", F.coalesce("source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("message").agg(F.count(F.lit(1)).alias("sources"))
+    wordings = found.groupBy("message", "wording").agg(F.min("segment").alias("segment"))
+    kinds = wordings.join(spread, "message").mapInPandas(_classified, "message long, wording long, kind string, sources long")
+    clear = F.max(F.when(F.col("kind") == "vague", 0).otherwise(1)).over(Window.partitionBy("message"))
+    return kinds.withColumn("clear", clear).where((F.col("clear") == 1) | (F.col("sources") >= wide)).drop("clear")
 
 
 def residue(documents: DataFrame, stage, wide: int = WIDE) -> DataFrame:
     """One row per document with residue: doc_id, kinds (sorted, comma-separated), n_messages, widest (sources of its widest message).
 
     documents: doc_id, text, source, doc_kind, path. Messages are counted over the distinct sources of all documents,
-    map-side first, so a message that a third of all documents hold is no burden on one task. A NULL source counts as one
-    source, NULL kind and path as prose. Repeated rows count once.
+    map-side first; documents meet the verdict on a message in ``_SHARES`` parts, so that one a third of all documents hold
+    is no burden on one task. A NULL source counts as one source, NULL kind and path as prose. Repeated rows count once.
     """
-    found = stage(signs(documents), "residue-signs")
-    spread = (
-        found.groupBy("message", F.coalesce("source", F.lit("")).alias("s")).agg(F.max(F.when(F.col("kind") == "vague", 0).otherwise(1)).alias("clear"))
-        .groupBy("message").agg(F.count(F.lit(1)).alias("sources"), F.max("clear").alias("clear"))
-    )
-    kept = found.join(spread, "message").where((F.col("kind") != "vague") | (F.col("clear") == 1) | (F.col("sources") >= wide))
+    found = stage(messages(documents), "residue-messages")
+    verdicts = judged(found, wide).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    placed = found.select("doc_id", "message", "wording", F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)).cast("int").alias("share"))
+    kept = placed.join(verdicts, ["message", "wording", "share"])
     return kept.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.countDistinct("message").alias("n_messages"), F.max("sources").alias("widest"))

@@ -42,6 +42,26 @@ def test_no_residue(text):
     assert kinds(text) == set()
 
 
+@pytest.mark.parametrize("day", ["monday", "tuesday", "the last release"])
+def test_reports_of_any_time_are_no_residue(day):
+    assert kinds(f"The page could not be loaded since {day}.") == set() and kinds(f"Since {day} 2 paths that `x` lists answer 404 Not Found.") == set()
+    assert kinds("The page could not be loaded.") == {"error"} and kinds("Rate limit reached for x_y; retry after 30 seconds.") == {"error"}
+
+
+def test_filler_of_unknown_words():
+    assert kinds("Ipsum morvane kelto drassi lorem quenta velmo") == {"filler"} and kinds("Morvane ipsum kelto drassi quenta velmo") == {"filler"}
+    assert kinds("The lorem text is in the fixture of the page.") == set() and kinds("Morvane kelto drassi quenta velmo sandri") == set()
+
+
+def test_groups_are_counted_before_they_are_classified(spark):
+    rows = [(n, f"Fault {n}: sign in again for item {n}", f"s{n % 4}", None, None) for n in range(8)] + [(20, "Fault: log in for a thing", "s1", None, None), (21, "The quay is open", "s2", None, None)]
+    found = R.messages(spark.createDataFrame([(*r, "m", 1) for r in rows], SCHEMA))
+    assert {r.doc_id for r in found.collect()} == {*range(8), 20} and len({r.message for r in found.collect()}) == 2
+    verdicts = R.judged(found).collect()
+    assert len(verdicts) == 8 and {(r.kind, r.sources) for r in verdicts} == {("vague", 4)}
+    assert R.judged(found, wide=5).count() == 0
+
+
 def test_masking_groups_the_same_message():
     a = R.masked("Reference 9f3ab2c1 at 2024-03-01 12:30 from 10.0.0.1, see https://x.example/a")
     b = R.masked("Reference 00ff1e22 at 2023-11-30 01:05 from 192.168.7.9, see https://y.example/b")
