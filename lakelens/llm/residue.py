@@ -74,8 +74,8 @@ _VAGUE = re.compile(r"(?i)\b(?:error|erreur|fehler|denied|forbidden|unavailable|
 _ABOUT = re.compile(r"(?i)\b(?:we|i|our|users?|nobody|because|retried|retries|since|until|whenever|when|if|answers?|sends?|returns? (?!at)|logs?|rejects?|replaced|dropped|fixtures?|tests?|reports? (?:such|that|an?)|gives up|works without|only for|reviewers?|in version|instead of|should)\b")
 _NOTE = re.compile(r"^\W*(?:todo|fixme|xxx|hack|note)\b(?!.*\b(?:your|insert)\b)", re.I)
 _LATIN = re.compile(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|fugiat|eiusmod|incididunt|aliqua)\b")
-_DUMMY, _FUNCTION_WORDS = re.compile(r"(?i)\b(?:lorem|ipsum)\b"), re.compile(r"(?i)\b(?:the|of|to|is|are|was|were|and|or|for|with|by|this|that|be|not|from|but|it|as)\b")
-#: Words from which on a segment around ``lorem`` or ``ipsum`` without any function word is filler, whatever its other words.
+_DUMMY, _FUNCTION_WORDS = re.compile(r"(?i)\b(?:lorem|ipsum|consectetur|adipiscing|fugiat|eiusmod|incididunt)\b"), re.compile(r"(?i)\b(?:the|of|to|is|are|was|were|and|or|for|with|by|this|that|be|not|from|but|it|as)\b")
+#: Words from which on a segment around one of those words without any function word is filler, whatever its other words.
 _FILLER_WORDS = 6
 # fixed values: words of those who report on a server's message
 _REPORTED = re.compile(r"(?i)\b(?:because|since|until|retr(?:ies|ied)|we (?:saw|see|got|get)|users?|customers?|reviewers?|gives? up|lists|fixtures?)\b")
@@ -255,7 +255,7 @@ def _marked_up(line: str) -> Iterator[str]:
 
 
 def _latin(segment: str) -> bool:
-    """Three words of the classic filler text, or one of its first two in prose without any function word."""
+    """Three words of the classic filler text, or one of its unmistakable ones in prose without any function word."""
     if len(set(x.lower() for x in _LATIN.findall(segment))) >= 3:
         return True
     return bool(_DUMMY.search(segment)) and len(segment.split()) >= _FILLER_WORDS and not _FUNCTION_WORDS.search(segment)

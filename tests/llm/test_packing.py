@@ -53,14 +53,27 @@ def test_oversized_nulls_empty_repeated_and_wide_ids(spark):
     assert packed(spark, []) == []
 
 
-def test_the_tree_has_several_levels(spark, monkeypatch):
-    monkeypatch.setattr(P, "HAND_UP", 3)
+def test_the_tree_has_several_levels(spark):
     rng = random.Random(2)
     rows = [(n, "word " * rng.choice([5, 30, 70])) for n in range(300)]
-    loads = check(rows, packed(spark, rows, parts=9, capacity=100, fan_in=2), 100)
+    loads = check(rows, packed(spark, rows, parts=9, capacity=100, fan_in=2, least_handed=3), 100)
     assert len({c.split("-")[0] for c in loads}) >= 2
 
 
+def test_bins_not_handed_up_cost_no_merge(spark):
+    rng = random.Random(3)
+    rows = [(n, "word " * rng.choice([58, 66, 71, 90])) for n in range(900)] + [(2000 + n, "word " * rng.choice([20, 30, 38])) for n in range(6)]
+    few, many = (len(check(rows, packed(spark, rows, capacity=100, fan_in=2, least_handed=n), 100)) for n in (1, 10_000))
+    assert few == many
+
+
+def test_two_sizes_in_any_order_reach_the_ideal(spark):
+    rows = [(n, "word " * (59 if n < 4000 else 39)) for n in range(8000)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(2)
+    loads = check(rows, P.pack(df, stage_table, capacity=100).collect(), 100)
+    assert len(loads) <= 1.02 * 4000
+
+
 def test_kinds_stored_apart_fill_each_other(spark):
     rows = [(n, "word " * (58 if n < 1500 else 38)) for n in range(3000)]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).coalesce(2)
