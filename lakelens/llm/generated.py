@@ -1,10 +1,10 @@
 """Files nobody on the project wrote by hand: generated, minified, vendored, data stored as code.
 
 Every piece of a file gives sums (characters, compressed bytes, token and character entropy, identifier lengths, comment
-density and the like) that add up to features of the file. A random forest learns on them from files that say what they
-are: header notices of tools, conventional names of tool output and lines of bare literals against files that name their own project or are plain
-prose and configuration. Notices, comments that hold them, bare literals and paths are hidden from the features. A file is a case by its
-own notice, by the place it is kept in, or by the forest.
+density and the like) that add up to features of the file. A random forest learns on them from files that say what they are
+in a header notice: that a tool wrote them, or that their own project owns them. Notices, the comments that hold them, and
+paths are hidden from the features. A file is a case by its own notice, by the place or name it is kept under, by holding
+nothing but literals, or by the forest, which finds what carries no notice.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: Labelled files of either class the forest is fitted on, at most.
 SAMPLE = 8_000
 TREES, TREE_DEPTH = 40, 8
-#: Chance from which on a file is a case; hand-written files with one long literal or a small table come up to 0.53.
-CHANCE = 0.6
+#: Chance from which on a file is a case.
+CHANCE = 0.5
 #: Notices count in comments that begin among so many first lines of the file, and of every piece, and in all that follows
 #: of a comment which begins there.
 HEADER_LINES, PIECE_LINES = 25, 8
@@ -67,8 +67,9 @@ _BLOCK = re.compile(r"/\*.*?\*/", re.S)
 _IDENT = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]")
 _SHAPE = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"[^\"\n]*\"|'[^'\n]*'")
-_LITERALS = re.compile(r"^[\s\[\](){},;:+-]*(?:(?:-?(?:0x[0-9a-fA-F]+|\d[\d.eE+-]*)|\"[^\"]*\"|'[^']*'|null|true|false|None)[\s\[\](){},;:+\\-]*)+$|^\s*insert into \w+ (?:\([^)]*\) )?values\b", re.I)
-#: Code files with so large a share of lines that hold nothing but literals are labelled as stored data; hidden from features.
+# possessive, so that a line of any length is read once
+_LITERALS = re.compile(r"^[\s\[\](){},;:+-]*+(?:(?:0x[0-9a-fA-F]++|\d[\d.eE+-]*+|\"[^\"]*+\"|'[^']*+'|null|true|false|None)[\s\[\](){},;:+\\-]*+)++$|^\s*+insert into \w+ (?:\([^)]*\) )?values\b", re.I)
+#: Code files with so large a share of lines that hold nothing but literals are stored data.
 DATA_LINES = 0.85
 _SUMS = (
     "chars lines blank compressed compressed_in token_bits tokens char_bits idents ident_chars short_idents camel digits symbols comment_chars code_lines "
@@ -93,7 +94,7 @@ def notices(text: str, start_line: int, project: str) -> tuple[bool, bool, bool]
     room = max(HEADER_LINES - start_line + 1, PIECE_LINES)
     if not text:
         return False, False, False
-    if _BUILT.search(text[:400]) or "sourceMappingURL" in text and _MAPPED.search(text):
+    if "sourceMappingURL" in text and _MAPPED.search(text):
         tool = True
     inside, quoted, leading = False, False, True
     for number, line in enumerate(text.split("\n")):
@@ -112,8 +113,8 @@ def notices(text: str, start_line: int, project: str) -> tuple[bool, bool, bool]
         leading = leading and (comment and (begun or not _NO_HEADER.match(line)) or not line.strip())
         if not comment or number >= room and not (begun or leading):
             continue
-        if len(line) > 400 and (begun or line.lstrip().startswith("/*")) and "*/" in line:
-            line = line[: max(400, line.index("*/"))]  # code may follow the comment
+        if (begun or line.lstrip().startswith("/*")) and "*/" in line:
+            line = line[: line.index("*/")]  # code may follow the comment
         if _BUILT.search(line):
             tool = True
         if _TOOL.search(line):
@@ -139,7 +140,7 @@ def measure(text: str) -> dict[str, float]:
     text = text.replace("\r\n", "\n")
     lines = (_MAPPED.sub("", text) if "sourceMappingURL" in text else text).split("\n")
     kept = [x for x in lines if not (_COMMENT.match(x) and (_TOOL.search(x) or _ORIGIN.search(x) or re.search(r"(?i)copyright|licen[sc]e", x)))]
-    text = _BLOCK.sub(lambda m: "" if re.search(r"(?i)built \d|licen[sc]e|copyright|upstream|copied from|part of", m[0][:400]) else m[0], "\n".join(kept))
+    text = _BLOCK.sub(lambda m: "" if re.search(r"(?i)built \d|licen[sc]e|copyright|upstream|copied from|part of", m[0]) else m[0], "\n".join(kept))
     lines = text.split("\n")
     solid = [x for x in lines if x.strip()]
     comments = [x for x in solid if _COMMENT.match(x)]
@@ -153,7 +154,7 @@ def measure(text: str) -> dict[str, float]:
         "token_bits": _entropy_bits(counts), "tokens": len(tokens), "char_bits": _entropy_bits(chars), "idents": len(idents), "ident_chars": sum(map(len, idents)),
         "short_idents": sum(len(t) <= 2 for t in idents), "camel": sum(not t.islower() for t in idents), "digits": sum(n for c, n in chars.items() if c.isdigit()),
         "symbols": sum(n for c, n in chars.items() if not c.isalnum() and not c.isspace()), "comment_chars": sum(map(len, comments)), "code_lines": len(solid) - len(comments),
-        "long_lines": sum(len(x) for x in solid if len(x) > 160), "literal_lines": sum(bool(_LITERALS.match(x[:400])) for x in solid), "shapes": len({_SHAPE.sub("w", x.strip()) for x in solid}), "numbers": sum(t[0].isdigit() for t in tokens),
+        "long_lines": sum(len(x) for x in solid if len(x) > 160), "literal_lines": sum(bool(_LITERALS.match(x)) for x in solid), "shapes": len({_SHAPE.sub("w", x.strip()) for x in solid}), "numbers": sum(t[0].isdigit() for t in tokens),
         "strings": len(strings), "string_chars": sum(map(len, strings)), "keywords": sum(n for t, n in counts.items() if t in _KEYWORDS), "spaces": chars.get(" ", 0) + chars.get("\t", 0),
     }
 
@@ -195,7 +196,7 @@ def features(chunks: DataFrame) -> DataFrame:
 
 
 def judged(chunks: DataFrame, stage, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
-    """Every file with its notices, place, chance by the forest and the verdict: project_id, ref, path, tool, foreign, placed, chance, found.
+    """Every file with its notices, place, chance by the forest and the verdict: project_id, ref, path, tool, foreign, own, placed, data, chance, found.
 
     chunks: project_id, ref, path, start_line, text. A NULL start line counts as 1, a NULL or empty text has no features;
     rows with a NULL path are no files. Where no label of one class occurs (an empty or tiny table), the forest is left
@@ -206,7 +207,7 @@ def judged(chunks: DataFrame, stage, sample: int = SAMPLE, seed: int = 5) -> Dat
     placed = path.rlike(f"(?i){_PLACE.pattern}")
     named = path.rlike(f"(?i){_NAME.pattern}") | path.rlike(f"(?i){_TOOL_PLACE.pattern}")
     data = F.col("data") & ~path.rlike(f"(?i){_PROSE.pattern}")
-    label = F.when((F.col("tool") | named | data) & ~F.col("foreign"), 1.0).when(~F.col("foreign") & ~placed & (F.col("own") | path.rlike(f"(?i){_PROSE.pattern}")), 0.0)
+    label = F.when(F.col("tool") & ~F.col("foreign"), 1.0).when(F.col("own") & ~F.col("foreign"), 0.0)  # header notices alone
     labelled = files.select(*_FEATURES, label.alias("label"), F.xxhash64("project_id", "ref", "path").alias("h")).where(F.col("label").isNotNull())
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="features", handleInvalid="keep")
@@ -221,6 +222,6 @@ def judged(chunks: DataFrame, stage, sample: int = SAMPLE, seed: int = 5) -> Dat
     else:
         scored = files.withColumn("chance", F.lit(0.0))
     return scored.select(
-        "project_id", "ref", "path", "tool", "foreign", (placed | named).alias("placed"), "chance",
-        (F.col("tool") | F.col("foreign") | placed | named | (F.col("chance") >= CHANCE)).alias("found"),
+        "project_id", "ref", "path", "tool", "foreign", "own", (placed | named).alias("placed"), data.alias("data"), "chance",
+        (F.col("tool") | F.col("foreign") | placed | named | data | (F.col("chance") >= CHANCE)).alias("found"),
     )

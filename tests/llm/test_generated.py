@@ -80,6 +80,24 @@ def test_notices_beyond_the_first_lines(text, want):
     assert G.notices(text, 1, "https://h.example/group/own.git") == want
 
 
+def test_lines_of_literals_are_read_once():
+    import time
+
+    began = time.perf_counter()
+    for line in ("1" * 200_000 + "x", "1+1+" * 50_000 + "x", "[1, 'a', " * 50_000 + "f()", '"a" ' * 50_000 + "x"):
+        assert not G._LITERALS.match(line)
+    assert G._LITERALS.match("  [1, -2.5e3, 0xff, 'a', null]," * 1000) and G._LITERALS.match("INSERT INTO t (a) VALUES (f())")
+    assert time.perf_counter() - began < 5
+
+
+def test_labels_come_from_header_notices_alone(spark):
+    rows, truth = corpus(2)
+    bare = [r for r in rows if r[3].startswith("lib/")] + [(900 + n, "group/own", "HEAD", f"vendor/p{n}.js", 1, minified(random.Random(n)), "", 1, "") for n in range(9)]
+    got = G.judged(spark.createDataFrame(bare, SCHEMA), stage_table).collect()
+    assert {r.chance for r in got} == {0.0}
+    assert {r.path for r in got if r.found} == {r.path for r in got if r.placed or r.data} and any(r.data for r in got)
+
+
 def test_places_and_names(spark):
     rows = [("vendor/x/a.go", True), ("src/third_party/a.py", True), ("node_modules/a/b.js", True), ("src/vendor_payouts/a.py", False), ("shop/vendors/a.py", False), ("package-lock.json", True), ("a/x.min.css", True), ("src/a-1a2b3c4d.js", True), ("a/b.tab.c", True), ("tools/codegen/a.py", False)]
     text = hand(random.Random(0))
