@@ -28,6 +28,7 @@ CELL, CELLS, PROBES = 3_000, 16_384, 4
 _SUB, _CODES = 16, 16  # subspaces, codes of one (four bits)
 _QUERIES, _BASE = 128, 20_000  # rows scanned at a time, and rows of one task's share of a crowded cell
 _ASKED = 60_000  # vectors searched by one task in (a block of) a cell
+_PLACED = 150_000  # placed rows of one scan partition, about 50 MB
 #: Sampled vectors that margins are settled on, share of their neighbours that a margin must reach, and its least width: in
 #: standard deviations of how far a vector at the threshold lies over in a given direction, where no direction is favoured.
 _TRIED, _REACHED, _WIDTH = 5_000, 0.999, 2.5
@@ -220,19 +221,21 @@ def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell: int = CELL, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell: int = CELL, probes: int = PROBES, sample: int = SAMPLE, cells: int = CELLS) -> DataFrame:
     """(id, neighbour, cosine): the k most similar other vectors of each, of those at or above the threshold.
 
     classes: pos, vec (distinct vectors). The quantisers are fitted on at most ``sample`` vectors. A crowded cell is cut
     into blocks of base and query rows of bounded size, each pair of blocks a task of its own. ``probes`` is the least number
-    of cells a vector is searched in; margins add all others that may hold a neighbour.
+    of cells a vector is searched in; margins add all others that may hold a neighbour. ``cells`` and ``sample`` go together:
+    beyond ``cells * cell`` vectors (49 million with the defaults) both should grow with the square root of the input, or
+    cells grow instead and with them the work for a vector; the result is the same.
     """
     spark = classes.sparkSession
     total = classes.count()
     drawn = classes.select("vec").sample(fraction=min(1.0, sample / max(total, 1)), seed=17) if total > sample else classes.select("vec")
     raw = _matrix([bytes(r.vec) for r in drawn.collect()])
     unit = _unit(raw)
-    centres = fit_cells(unit, min(CELLS, max(1, round(total / cell)), max(1, len(unit))))
+    centres = fit_cells(unit, min(cells, max(1, round(total / cell)), max(1, len(unit))))
     near = np.concatenate([np.zeros(0, np.int64)] + [(unit[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(unit), 4096)])
     books = fit_books(unit[:20_000], (unit - centres[near])[:20_000]) if len(unit) else np.zeros((_SUB, _CODES, DIM // _SUB))
     crowd = np.bincount(near, minlength=len(centres)) * (total / max(len(unit), 1))
@@ -272,7 +275,8 @@ def nearest(classes: DataFrame, k: int = K, threshold: float = THRESHOLD, cell:
 
     placed = classes.mapInPandas(assign, "cell long, b long, q long, base boolean, query boolean, pos long, vec binary")
     # the number is given, so that small rows of much work are not gathered into few tasks
-    placed = placed.repartition(shuffle_partitions(spark), "cell", "b", "q")
+    rows = asked.sum() * total / max(len(unit), 1)
+    placed = placed.repartition(max(shuffle_partitions(spark), int(rows // _PLACED) + 1), "cell", "b", "q")
     pairs = placed.groupBy("cell", "b", "q").applyInPandas(scan, "id long, neighbour long, cosine double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("neighbour")))), 1, k)
     return pairs.groupBy("id").agg(best.alias("best")).select("id", F.explode("best").alias("x")).select("id", "x.neighbour", (-F.col("x.c")).alias("cosine"))
