@@ -1,8 +1,8 @@
 """What changed between consecutive full snapshots.
 
-Rows are reduced to compact arrays (128-bit key hash, snapshot position, 64-bit row hash), hashed into buckets of a
-bounded number of rows, sorted in numpy and compared by ``searchsorted`` set differences. Full values are fetched
-afterwards, for differing keys only.
+Rows are reduced to compact fixed-width arrays (128-bit key hash, snapshot position, time, 64-bit row hash), combined within
+every batch, hashed once into buckets of a bounded number of rows, sorted in numpy and compared by ``searchsorted`` set
+differences. Full values are fetched afterwards, for differing keys only.
 """
 
 from __future__ import annotations
@@ -11,11 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakelens.session import shuffle_partitions, stage_table
+
 #: Rows of one bucket: about 50 MB of compact arrays.
 ROWS_PER_BUCKET = 500_000
+#: Snapshots, and differing keys, that are broadcast at most (some 100 MB); more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_COMPACT = "k1 long, k2 long, seq int, snapshot_no int, next_no int, loaded long, row_hash long"
 _ABSENT = "\x00"  # stands for NULL inside hashed and joined keys; no path, ref or project holds it
 _KINDS = np.array(["added", "removed", "changed"], dtype=object)
 
@@ -30,12 +36,25 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^\./", "")
 
 
-def _set_differences(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, str]]:
+def _latest(k1: np.ndarray, k2: np.ndarray, seq: np.ndarray, loaded: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Positions, sorted by key and snapshot, of the latest row of each file in each snapshot; ties by the greater hash."""
+    order = np.lexsort((row, loaded, seq, k2, k1))
+    a, b = order[:-1], order[1:]
+    last = np.r_[(k1[a] != k1[b]) | (k2[a] != k2[b]) | (seq[a] != seq[b]), True] if len(order) else np.zeros(0, bool)
+    return order[last]
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map-side: of the rows of one file and snapshot within a batch only the latest goes on, however often it was delivered."""
+    for batch in batches:
+        column = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)}
+        yield batch.take(pa.array(_latest(*(column[n] for n in ("k1", "k2", "seq", "loaded", "row_hash")))))
+
+
+def _set_differences(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Differences of one bucket as (k1, k2, snapshot_no, kind code) arrays."""
-    k1, k2 = pdf["k1"].to_numpy(np.int64), pdf["k2"].to_numpy(np.int64)
-    seq, row = pdf["seq"].to_numpy(np.int64), pdf["row_hash"].to_numpy(np.int64)
-    no, nxt = pdf["snapshot_no"].to_numpy(np.int64), pdf["next_no"].to_numpy(np.int64)
-    order = np.lexsort((seq, k2, k1))
+    k1, k2, seq, no, nxt, loaded, row = (pdf[c.split()[0]].to_numpy(np.int64) for c in _COMPACT.split(", "))
+    order = _latest(k1, k2, seq, loaded, row)
     k1, k2, seq, row, no, nxt = (a[order] for a in (k1, k2, seq, row, no, nxt))
     # one number for each key, so that (key, seq) becomes a single sorted array
     fresh = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])] if len(k1) else np.zeros(0, bool)
@@ -60,7 +79,7 @@ def _diff_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k1": k1, "k2": k2, "snapshot_no": when.astype(np.int32), "change_type": _KINDS[kind]})
 
 
-def snapshot_changes(files: DataFrame, snapshots: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def snapshot_changes(files: DataFrame, snapshots: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Files added, removed or changed between consecutive complete snapshots of each index.
 
     files: project_id, ref, path, sha, snapshot_no, loaded_at. snapshots: project_id, ref, snapshot_no, state.
@@ -68,50 +87,50 @@ def snapshot_changes(files: DataFrame, snapshots: DataFrame, rows_per_bucket: in
 
     Defined cases: NULL or empty ``ref`` is HEAD; a NULL project is an index of its own; rows with a NULL path or
     snapshot number are no files; NULL sha equals NULL and differs from any value; of several rows of one file in one
-    snapshot the latest ``loaded_at`` holds (NULL earliest, ties by the greater sha); rows of snapshots that are not
-    complete or not listed are ignored; empty tables give no rows; extra columns are ignored.
+    snapshot the latest ``loaded_at`` holds (NULL earliest, ties by the greater hash of the sha); rows of snapshots that are
+    not complete or not listed are ignored; empty tables give no rows; extra columns are ignored.
+
+    One shuffle of compact rows. Snapshots and differing keys are counted and broadcast up to ``broadcast_rows``; more
+    snapshots, or more differing keys, are joined by a shuffle.
     """
+    spark = files.sparkSession
     index = [F.coalesce(F.col("project_id"), F.lit(_ABSENT)).alias("pid"), plain_ref(F.col("ref")).alias("rf")]
     # position among the complete snapshots of an index; an empty complete snapshot keeps its place
     w = Window.partitionBy("pid", "rf").orderBy("snapshot_no")
+    listed = snapshots.where((F.col("state") == "complete") & F.col("snapshot_no").isNotNull())
     meta = (
-        snapshots.where((F.col("state") == "complete") & F.col("snapshot_no").isNotNull())
-        .select(*index, F.col("snapshot_no").cast("int").alias("snapshot_no"))
+        listed.select(*index, F.col("snapshot_no").cast("int").alias("snapshot_no"))
         .distinct()
         .withColumn("seq", (F.row_number().over(w) - 1).cast("int"))
         .withColumn("next_no", F.coalesce(F.lead("snapshot_no").over(w), F.lit(-1)))
     )
+    if listed.count() <= broadcast_rows:
+        meta = F.broadcast(meta)
     path = plain_path(F.col("path"))
-    keyed = files.where(F.col("path").isNotNull() & F.col("snapshot_no").isNotNull()).select(
+    # the two hashes see the fields in another order, which makes 128 independent bits
+    k1, k2 = F.xxhash64("pid", "rf", "path"), F.xxhash64(F.lit("lakelens"), "path", "rf", "pid")
+    named = files.where(F.col("path").isNotNull() & F.col("snapshot_no").isNotNull()).select(
         *index,
         path.alias("path"),
         F.col("snapshot_no").cast("int").alias("snapshot_no"),
         F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(2**62))).alias("loaded"),
-        F.lower("sha").alias("sha"),
+        F.when(F.col("sha").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lower("sha"))).alias("row_hash"),
     )
-    # the two hashes see the fields in another order, which makes 128 independent bits
-    k1 = F.xxhash64("pid", "rf", "path")
-    k2 = F.xxhash64(F.lit("lakelens"), "path", "rf", "pid")
-    row_hash = F.when(F.col("sha").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("sha"))
-    # grouping before the bucket shuffle collapses repeated deliveries on the map side, however many one file has
-    compact = (
-        keyed.join(meta, ["pid", "rf", "snapshot_no"])
-        .select(k1.alias("k1"), k2.alias("k2"), "seq", "snapshot_no", "next_no", "loaded", "sha", row_hash.alias("h"))
-        .groupBy("k1", "k2", "seq", "snapshot_no", "next_no")
-        .agg(F.max(F.struct("loaded", "sha", "h")).alias("last"))
-        .select("k1", "k2", "seq", "snapshot_no", "next_no", F.col("last.h").alias("row_hash"))
-    )
-    buckets = max(1, -(-files.count() // rows_per_bucket))
-    differing = (
-        compact.withColumn("bucket", F.pmod(F.col("k1"), F.lit(buckets)).cast("int"))
+    compact = named.join(meta, ["pid", "rf", "snapshot_no"]).select(k1.alias("k1"), k2.alias("k2"), "seq", "snapshot_no", "next_no", "loaded", "row_hash")
+    # more buckets than partitions, so that their hashes fill the partitions evenly
+    buckets = max(-(-files.count() // rows_per_bucket), 4 * shuffle_partitions(spark))
+    differing = stage_table(
+        compact.mapInArrow(_combine, _COMPACT)
+        .withColumn("bucket", F.pmod(F.col("k1"), F.lit(buckets)).cast("int"))
         .groupBy("bucket")
-        .applyInPandas(_diff_bucket, "k1 long, k2 long, snapshot_no int, change_type string")
-    )
-    values = (
-        keyed.select(k1.alias("k1"), k2.alias("k2"), "pid", "rf", "path")
-        .groupBy("k1", "k2")
-        .agg(F.first("pid").alias("pid"), F.first("rf").alias("rf"), F.first("path").alias("path"))
+        .applyInPandas(_diff_bucket, "k1 long, k2 long, snapshot_no int, change_type string"),
+        "differing-keys",
     )
+    keys = differing.select("k1", "k2").distinct()
+    keyed = named.select(k1.alias("k1"), k2.alias("k2"), "pid", "rf", "path")
+    small = differing.count() <= broadcast_rows  # a row group's count, nothing is read
+    held = keyed.join(F.broadcast(keys), ["k1", "k2"], "left_semi") if small else keyed
+    values = held.groupBy("k1", "k2").agg(F.first("pid").alias("pid"), F.first("rf").alias("rf"), F.first("path").alias("path"))
     return differing.join(values, ["k1", "k2"]).select(
         F.nullif(F.col("pid"), F.lit(_ABSENT)).alias("project_id"),
         F.col("rf").alias("ref"),

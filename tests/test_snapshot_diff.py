@@ -44,8 +44,8 @@ def test_extra_columns_with_clashing_names(spark):
     assert [tuple(r) for r in snapshot_changes(f, m).collect()] == [("p", "m", "a", 2, "removed")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force_over_many_buckets(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast_rows"), [(1, 1_000_000), (2, 0)])
+def test_against_brute_force_over_many_buckets(spark, seed, broadcast_rows):
     rng = random.Random(seed)
     meta = [(p, "m", n, rng.choice(["complete", "complete", "aborted"])) for p in "pq" for n in range(1, 7)]
     files = [(rng.choice("pq"), "m", f"f{rng.randrange(30)}" + "x" * rng.choice([0, 5000]), rng.choice(["a", "A", "b", None]), rng.randrange(1, 7), T0 + timedelta(seconds=n)) for n in range(900)]
@@ -56,4 +56,10 @@ def test_against_brute_force_over_many_buckets(spark, seed):
         for no, old, new in zip(complete[1:], lists, lists[1:]):
             want += [(p, "m", x, no, "added") for x in new.keys() - old.keys()] + [(p, "m", x, no, "removed") for x in old.keys() - new.keys()]
             want += [(p, "m", x, no, "changed") for x in new.keys() & old.keys() if new[x] != old[x]]
-    assert run(spark, files, meta, rows_per_bucket=40) == sorted(want, key=repr)
+    assert run(spark, files, meta, rows_per_bucket=40, broadcast_rows=broadcast_rows) == sorted(want, key=repr)
+
+
+def test_one_file_delivered_again_and_again(spark):
+    files = [("p", "m", "hot", str(n % 7), 1 + n % 2, T0 + timedelta(seconds=n)) for n in range(30_000)] + [("p", "m", "a", "1", 1, T0), ("p", "m", "hot", None, 2, None)]
+    want = [("p", "m", "a", 2, "removed"), ("p", "m", "hot", 2, "changed")]
+    assert run(spark, files, [("p", "m", 1, "complete"), ("p", "m", 2, "complete")]) == want
