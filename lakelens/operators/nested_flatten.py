@@ -1,7 +1,7 @@
 """Deeply nested reports as related flat tables.
 
 One pass over each document: a depth-first visitor emits rows of (table tag, primary key, parent key, payload). The rows
-are written partitioned by tag; each tag's schema is applied when its table is read.
+are written once, partitioned by tag; a table is read from its own partitions alone, and its schema applied then.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.session import stage_table
+
+#: Requests received more than once that are broadcast at most (some 50 MB); more of them are all grouped by a shuffle.
+BROADCAST_ROWS = 1_000_000
 EMITTED = "tag string, request_id long, pk string, parent_pk string, payload string"
 #: Payload schema of every table; the key columns are common to all.
 TABLES = {
@@ -122,29 +126,32 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for request_id, body in zip(pdf["request_id"].tolist(), pdf["sarif"].tolist()):
             for tag, key, parent, payload in visit(request_id, parse_body(body)):
                 rows.append((tag, request_id, key, parent, json.dumps(payload)))
-            if len(rows) >= 20_000:  # one huge report must not become one huge batch
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
+                if len(rows) >= 20_000:  # one huge report must not become one huge batch
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
         yield pd.DataFrame(rows, columns=columns)
 
 
-def latest_bodies(requests: DataFrame) -> DataFrame:
-    """The last received body of every request (ties by the greater body, NULL lowest), pre-aggregated map-side."""
-    return (
-        requests.where(F.col("request_id").isNotNull())
-        .groupBy("request_id")
-        .agg(F.max(F.struct("received_at", "sarif")).alias("last"))
-        .select("request_id", F.col("last.sarif").alias("sarif"))
-    )
+def latest_bodies(requests: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The last received body of every request (ties by the greater body, NULL lowest).
+
+    Only bodies of requests received more than once are shuffled, pre-aggregated map-side; the others stay where they are.
+    """
+    rows = requests.where(F.col("request_id").isNotNull()).select("request_id", "received_at", "sarif")
+    again = stage_table(rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id"), "requests-again")
+    few = again.count() <= broadcast_rows
+    repeated = rows.join(F.broadcast(again), "request_id", "left_semi") if few else rows
+    last = repeated.groupBy("request_id").agg(F.max(F.struct("received_at", "sarif")).alias("last")).select("request_id", F.col("last.sarif").alias("sarif"))
+    return last.unionByName(rows.join(F.broadcast(again), "request_id", "left_anti").select("request_id", "sarif")) if few else last
 
 
-def emit_tagged(requests: DataFrame) -> DataFrame:
+def emit_tagged(requests: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Tagged rows of all reports: tag, request_id, pk, parent_pk, payload (JSON).
 
     requests: request_id, sarif, received_at. A body that is NULL, cut off or otherwise not JSON gives no rows, also
     when an earlier body of the request was valid. Rows without request_id are ignored, extra columns too.
     """
-    bodies = latest_bodies(requests).where(F.col("sarif").isNotNull())
+    bodies = latest_bodies(requests, broadcast_rows).where(F.col("sarif").isNotNull())
     return bodies.mapInPandas(_emit, EMITTED)
 
 
@@ -157,9 +164,13 @@ def apply_schema(tagged: DataFrame, tag: str) -> DataFrame:
     )
 
 
-def write_tables(requests: DataFrame, folder: str) -> None:
-    """Write all tables in one pass, partitioned by tag."""
-    emit_tagged(requests).write.partitionBy("tag").mode("overwrite").parquet(folder)
+def write_tables(requests: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write all tables in one pass, partitioned by tag, to a folder or to the shared one; gives the tagged rows read back."""
+    tagged = emit_tagged(requests)
+    if folder is None:
+        return stage_table(tagged, "tagged", by=("tag",))
+    tagged.write.partitionBy("tag").mode("overwrite").parquet(folder)
+    return requests.sparkSession.read.schema(EMITTED).parquet(folder)
 
 
 def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
@@ -167,20 +178,14 @@ def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     return apply_schema(spark.read.schema(EMITTED).parquet(folder), tag)
 
 
-def result_locations(requests: DataFrame) -> DataFrame:
+def result_locations(tagged: DataFrame) -> DataFrame:
     """Locations with their result's rule and level; a result without locations gives one row with location_no -1."""
-    tagged = emit_tagged(requests).where(F.col("tag").isin("result", "location"))
-    both = "run_no int, result_no int, location_no int, n_locations int, rule_id string, eff_level string, uri string"
-    return (
-        tagged.select("tag", "request_id", F.from_json("payload", both).alias("p"))
-        .where((F.col("tag") == "location") | (F.col("p.n_locations") == 0))
-        .select(
-            "request_id",
-            "p.run_no",
-            "p.result_no",
-            F.coalesce("p.location_no", F.lit(-1)).alias("location_no"),
-            "p.rule_id",
-            "p.eff_level",
-            F.coalesce("p.uri", F.lit("")).alias("uri"),
-        )
-    )
+    results, places = apply_schema(tagged, "result"), apply_schema(tagged, "location")
+    columns = ["request_id", "run_no", "result_no", "location_no", "rule_id", "eff_level", "uri"]
+    bare = results.where("n_locations = 0").withColumn("location_no", F.lit(-1)).withColumn("uri", F.lit(""))
+    return places.select(*columns).unionByName(bare.select(*columns))
+
+
+def links(tagged: DataFrame) -> DataFrame:
+    """The keys of every row of every table: tag, pk, parent_pk."""
+    return tagged.select("tag", "pk", "parent_pk")

@@ -340,11 +340,27 @@ SELECT request_id, request_id || '/' || run_no || '/' || result_no AS pk, reques
 FROM leveled
 """
 
+_TO_RESULTS = P4_FOUND[: P4_FOUND.index("named AS (")].strip().rstrip(",")
+P4_RULES = _TO_RESULTS + """
+SELECT request_id, request_id || '/' || run_no || '/rule/' || (rule_no - 1) AS pk, request_id || '/' || run_no AS parent_pk, run_no::INT AS run_no, (rule_no - 1)::INT AS rule_no,
+       coalesce(rule->>'id', '') AS rule_id, nullif(rule->'defaultConfiguration'->>'level', '') AS default_level
+FROM rules
+"""
+P4_LINKS = _TO_RESULTS + """
+SELECT 'report' AS tag, request_id::VARCHAR AS pk, NULL::VARCHAR AS parent_pk FROM doc WHERE json_type(j) = 'OBJECT'
+UNION ALL SELECT 'run', request_id || '/' || run_no, request_id::VARCHAR FROM runs
+UNION ALL SELECT 'rule', request_id || '/' || run_no || '/rule/' || (rule_no - 1), request_id || '/' || run_no FROM rules
+UNION ALL SELECT 'artifact', request_id || '/' || run_no || '/artifact/' || k.i, request_id || '/' || run_no FROM runs, range(0, coalesce(json_array_length(run, '$.artifacts'), 0)::BIGINT) AS k(i)
+UNION ALL SELECT 'result', request_id || '/' || run_no || '/' || result_no, request_id || '/' || run_no FROM results
+UNION ALL SELECT 'location', request_id || '/' || run_no || '/' || result_no || '/' || k.i, request_id || '/' || run_no || '/' || result_no
+  FROM results, range(0, coalesce(json_array_length(res, '$.locations'), 0)::BIGINT) AS k(i)
+"""
+
 _PHRASES = "SELECT * FROM (VALUES (1, 'anchor_token'), (2, 'the index_span of __init__'), (3, 'refresh_token nested_volume')) AS t(query_id, query)"
 _SYMBOLS = "SELECT * FROM (VALUES (1, 'InnerSpan'), (2, 'pad_loose_lathe'), (3, 'demoteOrphanStream')) AS t(query_id, query)"
 
 ORACLES = {
-    "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "line_windows": LINE_WINDOWS, "content_sha": CONTENT_SHA, "file_filter": FILE_FILTER,
+    "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p4_rules": P4_RULES, "p4_links": P4_LINKS, "line_windows": LINE_WINDOWS, "content_sha": CONTENT_SHA, "file_filter": FILE_FILTER,
     "url_hosts": URL_HOSTS, "host_allowlist": HOST_ALLOWLIST, "snapshot_paths": SNAPSHOT_PATHS, "apply_diff_counts": APPLY_DIFF_COUNTS,
     "file_sha_upsert": FILE_SHA_UPSERT, "meta_upsert": META_UPSERT, "chunk_counts_by_key": CHUNK_COUNTS, "index_status": INDEX_STATUS,
     "validate_queries": VALIDATE_QUERIES, "select_mode": SELECT_MODE, "query_terms": QUERY_TERMS, "token_stats": TOKEN_STATS, "fence_length": FENCE_LENGTH,

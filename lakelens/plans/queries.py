@@ -22,12 +22,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested_flatten.result_locations(load(spark, folder, "gate_requests"))
+    return nested_flatten.result_locations(nested_flatten.write_tables(load(spark, folder, "gate_requests")))
 
 
 def p4_results(spark: SparkSession, folder: str) -> DataFrame:
     """The table of results with its parent keys."""
-    return nested_flatten.apply_schema(nested_flatten.emit_tagged(load(spark, folder, "gate_requests")), "result")
+    return nested_flatten.apply_schema(nested_flatten.write_tables(load(spark, folder, "gate_requests")), "result")
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Parent and child keys over all tables: reports, runs, rules, artifacts, results, locations."""
+    return nested_flatten.links(nested_flatten.write_tables(load(spark, folder, "gate_requests")))
+
+
+def p4_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of rules with its parent keys."""
+    return nested_flatten.apply_schema(nested_flatten.write_tables(load(spark, folder, "gate_requests")), "rule")
 
 
 # chunking and sources
@@ -331,7 +341,7 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p4_found, p4_results, line_windows, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
+        p1_found, p4_found, p4_results, p4_rules, p4_links, line_windows, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
         apply_diff_counts, file_sha_upsert, meta_upsert, chunk_counts_by_key, index_status, validate_queries, select_mode, query_terms, token_stats,
         fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, lexical_like, symbol_lookup, cosine_topk,
         cosine_topk_filtered, cosine_batch_topk, hybrid_search, rrf_fuse, rerank_head, overfetch_arms, ndcg_at_10, found_precision, sarif_levels,

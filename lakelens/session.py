@@ -59,14 +59,14 @@ def _stage_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back.
+def stage_table(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder, partitioned by the columns ``by``, and read it back.
 
     The files outlive any executor, so a lost executor costs a re-read, not a recomputation. They lie in one folder per
     application, which goes when the driver ends (:func:`drop_stages` removes it earlier, and on other file systems).
     """
     path = f"{_stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.partitionBy(*by).mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

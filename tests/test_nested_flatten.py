@@ -19,7 +19,7 @@ def report():
 
 def rows(spark, bodies):
     df = spark.createDataFrame([(i, b, t) for i, b, t in bodies], SCHEMA)
-    return sorted(map(tuple, N.result_locations(df).collect()))
+    return sorted(map(tuple, N.result_locations(N.write_tables(df)).collect()))
 
 
 def test_levels_rules_and_places(spark):
@@ -55,4 +55,20 @@ def test_every_row_points_to_its_parent(spark, tmp_path):
 def test_a_very_large_report(spark):
     big = {"runs": [{"results": [{"ruleId": "R" * 50, "level": "error", "locations": [{}]} for _ in range(25_000)]}]}
     df = spark.createDataFrame([(1, json.dumps(big), T[0])], SCHEMA)
-    assert N.result_locations(df).count() == 25_000
+    assert N.result_locations(N.write_tables(df)).count() == 25_000
+
+
+def test_long_reports_leave_in_bounded_batches():
+    import pandas as pd
+
+    big = {"runs": [{"results": [{"level": "error", "locations": [{}]} for _ in range(25_000)]}]}
+    sizes = [len(x) for x in N._emit(iter([pd.DataFrame({"request_id": [1, 2], "sarif": [json.dumps(big), json.dumps(big)]})]))]
+    assert max(sizes) == 20_000 and sum(sizes) == 2 * 50_002
+
+
+def test_repeated_requests_with_and_without_broadcast(spark):
+    body = json.dumps(report())
+    df = spark.createDataFrame([(1, body, T[0]), (1, None, T[1]), (2, body, T[0]), (3, None, T[1]), (3, body, T[1]), (3, body, T[1]), (None, body, T[0])], SCHEMA)
+    want = [(1, None), (2, body), (3, body)]
+    for most in (0, 10):
+        assert sorted((tuple(r) for r in N.latest_bodies(df, most).collect()), key=repr) == sorted(want, key=repr)
