@@ -39,6 +39,7 @@ class Settings:
     max_file_bytes: int = 400_000
     chunk_max_lines: int = 120
     chunk_max_chars: int = 1_500
+    errors_shown: int = 1_000
     include_globs: str = "**/*.py,**/*.go,**/*.java,**/*.ts,**/*.js,**/*.rb,**/*.rs,**/*.cs,**/*.kt"
     # service
     host: str = "0.0.0.0"

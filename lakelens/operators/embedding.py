@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -45,27 +46,48 @@ class HashEmbedder:
         return [self.embed_query(t) for t in texts]
 
 
-class LocalEmbedder:
-    """A sentence-transformers model, loaded once per worker; out of GPU memory it goes on on the CPU."""
+class _TorchModel:
+    """What models on a device share: half precision on a GPU, and the CPU for the rest of a run that is out of GPU memory."""
+
+    def _place(self, wanted: str) -> str:
+        import torch
+
+        self.device = wanted if wanted != "auto" else "cuda" if torch.cuda.is_available() else "cpu"
+        return self.device
+
+    def _halve(self, network) -> None:
+        if self.device.startswith("cuda"):
+            network.half()
+
+    def _guarded(self, call: Callable[[], object], network) -> object:
+        try:
+            return call()
+        except RuntimeError as problem:
+            if self.device == "cpu" or "out of memory" not in str(problem).lower():
+                raise
+            import torch
+
+            torch.cuda.empty_cache()
+            network.to("cpu").float()
+            self.device = "cpu"
+            return call()
+
+
+class LocalEmbedder(_TorchModel):
+    """A sentence-transformers model; sequences are cut at 1,024 tokens, or before where the model takes fewer."""
 
     def __init__(self, settings: Settings):
         from sentence_transformers import SentenceTransformer
 
-        self.settings = settings
-        device = None if settings.embed_device == "auto" else settings.embed_device
-        self.model = SentenceTransformer(settings.embed_model, device=device)
-        self.model.max_seq_length = 1024
+        self.batch = settings.embed_batch_size
+        self.model = SentenceTransformer(settings.embed_model, device=self._place(settings.embed_device))
+        self._halve(self.model)
+        self.model.max_seq_length = min(self.model.max_seq_length or 1024, 1024)
         self.dim = self.model.get_sentence_embedding_dimension()
         self.prompt = "query" if "query" in (getattr(self.model, "prompts", None) or {}) else None
 
     def _encode(self, texts: list[str], **more) -> list[list[float]]:
-        try:
-            return self.model.encode(texts, batch_size=self.settings.embed_batch_size, normalize_embeddings=True, **more).tolist()
-        except RuntimeError as problem:
-            if "out of memory" not in str(problem).lower():
-                raise
-            self.model.to("cpu")
-            return self.model.encode(texts, batch_size=self.settings.embed_batch_size, normalize_embeddings=True, **more).tolist()
+        return self._guarded(lambda: self.model.encode(texts, batch_size=self.batch, normalize_embeddings=True, **more), self.model).tolist()
 
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
         return self._encode(texts)
@@ -99,31 +121,92 @@ class HostedEmbedder:
         return with_retry(lambda: self.send([text], "query"), sleep=self.sleep)[0]
 
 
-class CrossEncoderReranker:
+class GoogleTransport:
+    """``send`` of a hosted embedder over the public REST interface of Google's embedding models."""
+
+    # fixed values: address and task names of the public interface
+    URL = "https://generativelanguage.googleapis.com/v1beta/models/{}:batchEmbedContents"
+    TASKS = {"document": "RETRIEVAL_DOCUMENT", "query": "RETRIEVAL_QUERY"}
+
+    def __init__(self, key: str, model: str, dim: int, post: Callable[[str, dict, bytes], bytes] | None = None):
+        if not key:
+            raise ValueError("the hosted embedder needs gemini_api_key")
+        self.key, self.model, self.dim, self.post = key, model, dim, post or _post
+
+    def __call__(self, texts: list[str], kind: str) -> list[list[float]]:
+        if not texts:
+            return []
+        asked = [{"model": f"models/{self.model}", "content": {"parts": [{"text": t}]}, "taskType": self.TASKS[kind], "outputDimensionality": self.dim} for t in texts]
+        headers = {"x-goog-api-key": self.key, "Content-Type": "application/json"}
+        answer = json.loads(self.post(self.URL.format(self.model), headers, json.dumps({"requests": asked}).encode()))
+        return [e["values"] for e in answer["embeddings"]]
+
+
+def _post(url: str, headers: dict, body: bytes) -> bytes:
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, data=body, headers=headers, method="POST"), timeout=60) as answer:
+        return answer.read()
+
+
+def hosted(settings: Settings) -> HostedEmbedder:
+    return HostedEmbedder(GoogleTransport(settings.gemini_api_key, settings.embed_model, settings.embed_dim), settings.embed_dim)
+
+
+class CrossEncoderReranker(_TorchModel):
     def __init__(self, settings: Settings):
         from sentence_transformers import CrossEncoder
 
-        self.model = CrossEncoder(settings.rerank_model, max_length=512, device=None if settings.rerank_device == "auto" else settings.rerank_device)
+        self.batch = settings.embed_batch_size
+        self.model = CrossEncoder(settings.rerank_model, max_length=512, device=self._place(settings.rerank_device))
+        self._halve(self.model.model)
 
     def rerank(self, query: str, documents: list[str]) -> list[float]:
-        return [float(x) for x in self.model.predict([(query, d) for d in documents])] if documents else []
+        pairs = [(query, d) for d in documents]
+        return [float(x) for x in self._guarded(lambda: self.model.predict(pairs, batch_size=self.batch), self.model.model)] if pairs else []
 
 
-EMBEDDERS: dict[str, Callable[[Settings], Embedder]] = {"hash": lambda s: HashEmbedder(s.embed_dim), "local": LocalEmbedder}
+#: Factories by name; a name added here can be chosen in the settings.
+EMBEDDERS: dict[str, Callable[[Settings], Embedder]] = {"hash": lambda s: HashEmbedder(s.embed_dim), "local": LocalEmbedder, "gemini": hosted}
+_made: dict[Settings, Embedder] = {}
 
 
 def make_embedder(settings: Settings) -> Embedder:
     if settings.embedder not in EMBEDDERS:
-        raise ValueError(f"unknown embedder {settings.embedder!r}")
+        raise ValueError(f"unknown embedder {settings.embedder!r}; known are {', '.join(sorted(EMBEDDERS))}")
     return EMBEDDERS[settings.embedder](settings)
 
 
+def cached_embedder(settings: Settings) -> Embedder:
+    """The embedder of the settings, made once per process: what executors are given is this function, never a model."""
+    if settings not in _made:
+        _made[settings] = make_embedder(settings)
+    return _made[settings]
+
+
 def make_reranker(settings: Settings) -> Reranker | None:
     return CrossEncoderReranker(settings) if settings.rerank_enabled else None
 
 
+class BenchmarkModel:
+    """An embedder as retrieval benchmarks want it: ``encode_queries`` and ``encode_corpus``.
+
+    Entries of a corpus are texts, or mappings with ``title`` and ``text``.
+    """
+
+    def __init__(self, embedder: Embedder):
+        self.embedder = embedder
+
+    def encode_queries(self, queries: list[str], batch_size: int = BATCH, **_) -> list[list[float]]:
+        return list(map(self.embedder.embed_query, queries))
+
+    def encode_corpus(self, corpus: list, batch_size: int = BATCH, **_) -> list[list[float]]:
+        texts = [f"{x.get('title') or ''}\n{x.get('text') or ''}".strip() if isinstance(x, dict) else str(x) for x in corpus]
+        return [v for a in range(0, len(texts), batch_size) for v in self.embedder.embed_documents(texts[a : a + batch_size])]
+
+
 def embed_column(text: Column, factory: Callable[[], Embedder]) -> Column:
-    """Vectors of a text column. The model is made once per task and fed ``BATCH`` texts at a time; NULL stays NULL."""
+    """Vectors of a text column. The factory gives the model in every task (:func:`cached_embedder`: one per process), which is fed ``BATCH`` texts at a time; NULL stays NULL."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()

@@ -11,15 +11,15 @@ from lakelens.session import shuffle_partitions, stage_table
 K1, B = 1.2, 0.75
 
 
-def _occurrences(chunks: DataFrame) -> DataFrame:
-    """(chunk_pos, field, pos, term): field 0 is the text, 1 the symbol."""
-    fields = chunks.select("chunk_pos", F.posexplode(F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("field", "tokens"))
-    return fields.select("chunk_pos", "field", F.posexplode("tokens").alias("pos", "term"))
+#: Distinct terms of stated queries that are written into a plan as a set at most; more of them are joined.
+TERM_SET = 20_000
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_pos, field, positions): a row per term of a chunk's field."""
-    return _occurrences(chunks).groupBy("term", "chunk_pos", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def build_postings(chunks: DataFrame, key: tuple[str, ...] = ("chunk_pos",)) -> DataFrame:
+    """(term, key, field, positions): a row per term of a chunk's field; field 0 is the text, 1 the symbol."""
+    fields = chunks.select(*key, F.posexplode(F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol")))).alias("field", "tokens"))
+    places = fields.select(*key, "field", F.posexplode("tokens").alias("pos", "term"))
+    return places.groupBy("term", *key, "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
@@ -39,26 +39,48 @@ def _parts(phrases: DataFrame) -> DataFrame:
     return phrases.select("phrase").distinct().select("phrase", F.posexplode(words).alias("part", "term"), F.size(words).alias("n"))
 
 
-def _whole(starts: DataFrame) -> DataFrame:
+def _whole(starts: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """A phrase stands where all its parts agree on the place of its first token."""
-    met = starts.groupBy("phrase", "n", "chunk_pos", "field", "at").agg(F.count(F.lit(1)).alias("c")).where("c = n")
-    return met.groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f"))
+    met = starts.groupBy("phrase", "n", *key, "field", "at").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    return met.groupBy("phrase", *key).agg(F.count(F.lit(1)).alias("f"))
 
 
-def phrase_counts(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, chunk_pos, f): occurrences of each phrase, never across the two fields."""
-    hits = postings.join(_parts(phrases), "term")
-    single = hits.where("n = 1").groupBy("phrase", "chunk_pos").agg(F.sum(F.size("positions")).alias("f"))
-    starts = hits.where("n > 1").select("phrase", "n", "chunk_pos", "field", F.explode(F.transform("positions", lambda p: p - F.col("part"))).alias("at"))
-    return single.unionByName(_whole(starts))
+def phrase_counts(postings: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("chunk_pos",)) -> DataFrame:
+    """(phrase, key, f): occurrences of each phrase, never across the two fields. ``key`` tells chunks of all indexes apart."""
+    hits = postings.join(F.broadcast(_parts(phrases)) if _few(phrases) else _parts(phrases), "term")
+    single = hits.where("n = 1").groupBy("phrase", *key).agg(F.sum(F.size("positions")).alias("f"))
+    starts = hits.where("n > 1").select("phrase", "n", *key, "field", F.explode(F.transform("positions", lambda p: p - F.col("part"))).alias("at"))
+    return single.unionByName(_whole(starts, key))
 
 
-def token_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The same from chunks without an index: only occurrences of the phrases' terms are shuffled."""
-    hits = _occurrences(chunks).join(_parts(phrases), "term")
+def _few(phrases: DataFrame) -> bool:
+    return phrases.select("phrase").distinct().count() <= TERM_SET
+
+
+def scan(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(chunk_pos, n_tokens, hits): one pass of tokenising gives a chunk's size and the places of the phrases' terms in it."""
+    words = _parts(phrases).select("term").distinct()
+    terms = [r.term for r in words.limit(TERM_SET + 1).collect()]
+    fields = chunks.select("chunk_pos", F.array(T.tokens(F.col("text")), T.tokens(F.col("symbol"))).alias("fields"))
+    sized = fields.withColumn("n_tokens", (F.size(F.col("fields")[0]) + F.size(F.col("fields")[1])).cast("long"))
+    if len(terms) > TERM_SET:
+        placed = sized.select("chunk_pos", F.posexplode("fields").alias("field", "tokens")).select("chunk_pos", "field", F.posexplode("tokens").alias("pos", "term")).join(words, "term")
+        hits = placed.groupBy("chunk_pos").agg(F.collect_list(F.struct("field", "pos", "term")).alias("hits"))
+        return sized.drop("fields").join(hits, "chunk_pos", "left")
+
+    def of(field: int) -> Column:
+        every = F.transform(F.col("fields")[field], lambda t, k: F.struct(F.lit(field).alias("field"), k.alias("pos"), t.alias("term")))
+        return F.filter(every, lambda x: x.term.isin(terms))
+
+    return sized.select("chunk_pos", "n_tokens", F.concat(of(0), of(1)).alias("hits"))
+
+
+def scanned_counts(scanned: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Phrase counts of scanned chunks: only occurrences of the phrases' terms are ever rows."""
+    hits = scanned.select("chunk_pos", F.explode("hits").alias("h")).select("chunk_pos", "h.*").join(_parts(phrases), "term")
     single = hits.where("n = 1").groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f"))
     starts = hits.where("n > 1").select("phrase", "n", "chunk_pos", "field", (F.col("pos") - F.col("part")).alias("at"))
-    return single.unionByName(_whole(starts))
+    return single.unionByName(_whole(starts, ("chunk_pos",)))
 
 
 def _weight(total: Column, holding: Column) -> Column:
@@ -66,6 +88,12 @@ def _weight(total: Column, holding: Column) -> Column:
     return F.when(idf > 0, idf).otherwise(F.lit(1e-6))
 
 
+def _part(mean: Column) -> Column:
+    """A phrase's share of a chunk's score."""
+    f = F.col("f").cast("double")
+    return F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / mean))
+
+
 def score(counts: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, chunk_pos, score): BM25 over all rows of ``stats``, higher is better; chunks without any phrase are absent."""
     totals = stats.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("n_tokens").alias("mean"))
@@ -74,16 +102,26 @@ def score(counts: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
     # by chunk from here on: the sums per query and chunk need no further shuffle; the number is given because few
     # counts become many rows once they meet the queries
     scored = counts.join(weights, "phrase").repartition(shuffle_partitions(counts.sparkSession), "chunk_pos").join(stats, "chunk_pos")
-    f = F.col("f").cast("double")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    parts = scored.select("phrase", "chunk_pos", part.alias("part")).join(phrases, "phrase")
+    parts = scored.select("phrase", "chunk_pos", _part(F.col("mean")).alias("part")).join(phrases, "phrase")
     return parts.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
-def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores from a stored index. Statistics are over the whole index, whatever is filtered afterwards."""
+def bm25(postings: DataFrame, stats: DataFrame, queries: DataFrame, totals: tuple[int, float], index_key: str) -> DataFrame:
+    """(query_id, chunk_pos, score) of one index's chunks, from the stored postings of all indexes.
+
+    Statistics are over all indexes: the number and mean size of chunks come as ``totals`` from their manifests, how many
+    hold a phrase from the postings. Only postings of the queries' terms are read (a pushed filter), and only this index's
+    sizes. The queries are few: those of one search.
+    """
     phrases = query_phrases(queries)
-    return score(phrase_counts(postings, phrases), stats, phrases)
+    terms = [r.term for r in _parts(phrases).select("term").distinct().collect()]
+    counts = phrase_counts(postings.where(F.col("term").isin(terms)), phrases, ("index_key", "chunk_pos"))
+    counts = stage_table(counts, "phrase-counts")
+    holding = counts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("holding"))
+    weights = holding.select("phrase", _weight(F.lit(float(totals[0])), F.col("holding")).alias("idf"))
+    mine = counts.where(F.col("index_key") == index_key).join(F.broadcast(weights), "phrase").join(stats.drop("index_key"), "chunk_pos")
+    parts = mine.select("phrase", "chunk_pos", _part(F.lit(float(totals[1]))).alias("part")).join(F.broadcast(phrases), "phrase")
+    return parts.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -101,10 +139,11 @@ def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, digits: int = 6) ->
 def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     """Search without a stored index. ``keep`` filters chunks after scoring, as a key filter does.
 
-    Counts, sizes and phrases serve several times each, so they are staged.
+    Phrases, scanned chunks and counts serve several times each, so they are staged; texts are tokenised once.
     """
-    phrases, stats = stage_table(query_phrases(queries), "phrases"), stage_table(doc_stats(chunks), "doc-stats")
-    scores = score(stage_table(token_counts(chunks, phrases), "phrase-counts"), stats, phrases)
+    phrases = stage_table(query_phrases(queries), "phrases")
+    scanned = stage_table(scan(chunks, phrases), "scanned-chunks")
+    scores = score(stage_table(scanned_counts(scanned, phrases), "phrase-counts"), scanned.select("chunk_pos", "n_tokens"), phrases)
     if keep is not None:
         chunks = chunks.where(keep)
         scores = scores.join(chunks.select("chunk_pos"), "chunk_pos", "left_semi")

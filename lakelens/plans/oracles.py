@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from lakelens.functions.text import MARKED, PLAIN
+import string
+import unicodedata
+
+# Latin letters with marks whose plain letter is ASCII, by their decomposition
+MARKED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and unicodedata.normalize("NFD", c)[0] in string.ascii_lowercase and c not in string.ascii_lowercase)
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 P1_FOUND = r"""
 WITH f AS (
@@ -359,13 +364,15 @@ UNION ALL SELECT 'location', request_id || '/' || run_no || '/' || result_no ||
 _PHRASES = "SELECT * FROM (VALUES (1, 'anchor_token'), (2, 'the index_span of __init__'), (3, 'refresh_token nested_volume')) AS t(query_id, query)"
 _SYMBOLS = "SELECT * FROM (VALUES (1, 'InnerSpan'), (2, 'pad_loose_lathe'), (3, 'demoteOrphanStream')) AS t(query_id, query)"
 
+_FILTERED = _search(ITEMS, 10, "project_id = 'meridian/atlas-core' AND ref = 'HEAD'")
+
 ORACLES = {
     "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p4_rules": P4_RULES, "p4_links": P4_LINKS, "line_windows": LINE_WINDOWS, "content_sha": CONTENT_SHA, "file_filter": FILE_FILTER,
     "url_hosts": URL_HOSTS, "host_allowlist": HOST_ALLOWLIST, "snapshot_paths": SNAPSHOT_PATHS, "apply_diff_counts": APPLY_DIFF_COUNTS,
     "file_sha_upsert": FILE_SHA_UPSERT, "meta_upsert": META_UPSERT, "chunk_counts_by_key": CHUNK_COUNTS, "index_status": INDEX_STATUS,
     "validate_queries": VALIDATE_QUERIES, "select_mode": SELECT_MODE, "query_terms": QUERY_TERMS, "token_stats": TOKEN_STATS, "fence_length": FENCE_LENGTH,
     "render_snippet": RENDER_SNIPPET, "lexical_batch_topk": _search(ITEMS, 10), "lexical_phrase": _search(_PHRASES, 10),
-    "lexical_filtered": _search(ITEMS, 10, "project_id = 'meridian/atlas-core' AND ref = 'HEAD'"), "lexical_like": LEXICAL_LIKE, "symbol_lookup": _search(_SYMBOLS, 5),
+    "lexical_filtered": _FILTERED, "stored_search": _FILTERED, "lexical_like": LEXICAL_LIKE, "symbol_lookup": _search(_SYMBOLS, 5),
     "cosine_topk": COSINE_TOPK, "cosine_topk_filtered": COSINE_FILTERED, "cosine_batch_topk": COSINE_BATCH, "hybrid_search": HYBRID_SEARCH, "rrf_fuse": RRF_FUSE,
     "rerank_head": RERANK_HEAD, "overfetch_arms": OVERFETCH_ARMS, "ndcg_at_10": NDCG_AT_10, "found_precision": FOUND_PRECISION, "sarif_levels": SARIF_LEVELS,
     "gate_decisions": GATE_DECISIONS, "gate_max_findings": GATE_MAX, "gate_policy_override": GATE_OVERRIDE, "dashboard_recent": DASHBOARD_RECENT,

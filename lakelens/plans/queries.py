@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakelens.config import Settings
 from lakelens.functions import text as T
 from lakelens.operators import catalog, chunking, embedding, evaluation, fusion, gate, lexical, nested_flatten, snapshot_diff, vector
-from lakelens.session import ship_package, stage_table
+from lakelens.session import ship_package, shuffle_partitions, stage_table
 from lakelens.sources import directory, fetch
 from lakelens.tables import load, load_spread
 
@@ -216,6 +216,20 @@ def lexical_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(lexical.search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K, keep))
 
 
+def stored_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored postings of all indexes, whose chunks are numbered within each index as the catalog does."""
+    key = F.concat("project_id", F.lit("@"), "ref").alias("index_key")
+    number = F.row_number().over(Window.partitionBy("project_id", "ref").orderBy("chunk_pos")).cast("long")
+    chunks = load_spread(spark, folder, "chunks").select(key, number.alias("number"), "chunk_pos", "path", "start_line", "end_line", "symbol", "text")
+    local = chunks.withColumnRenamed("chunk_pos", "given").withColumnRenamed("number", "chunk_pos")
+    postings = stage_table(lexical.build_postings(local, ("index_key", "chunk_pos")).repartitionByRange(shuffle_partitions(spark), "term").sortWithinPartitions("term"), "postings")
+    totals = lexical.doc_stats(local).agg(F.count(F.lit(1)), F.coalesce(F.avg("n_tokens"), F.lit(0.0))).first()
+    mine = local.where(F.col("index_key") == "meridian/atlas-core@HEAD")
+    scores = lexical.bm25(postings, lexical.doc_stats(mine), _items(spark, folder).select("query_id", "query"), tuple(totals), "meridian/atlas-core@HEAD")
+    given = scores.join(mine.select("chunk_pos", "given"), "chunk_pos").select("query_id", F.col("given").alias("chunk_pos"), "score")
+    return _flat(lexical.top_chunks(given, mine.drop("chunk_pos").withColumnRenamed("given", "chunk_pos"), K))
+
+
 def lexical_like(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(lexical.like_search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K))
 
@@ -343,7 +357,7 @@ QUERIES = {
     for f in (
         p1_found, p4_found, p4_results, p4_rules, p4_links, line_windows, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
         apply_diff_counts, file_sha_upsert, meta_upsert, chunk_counts_by_key, index_status, validate_queries, select_mode, query_terms, token_stats,
-        fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, lexical_like, symbol_lookup, cosine_topk,
+        fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, stored_search, lexical_like, symbol_lookup, cosine_topk,
         cosine_topk_filtered, cosine_batch_topk, hybrid_search, rrf_fuse, rerank_head, overfetch_arms, ndcg_at_10, found_precision, sarif_levels,
         gate_decisions, gate_max_findings, gate_policy_override, dashboard_recent, dashboard_totals, hash_embed,
     )

@@ -37,13 +37,15 @@ def local_session(cores: int = 8, app: str = "lakelens", **extra: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) is a folder of our own set.
+    Only on a single machine (tests) is a folder of our own set where none is named; a cluster must name one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lakelens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

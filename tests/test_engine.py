@@ -51,6 +51,58 @@ def test_index_search_and_incremental(spark, project, tmp_path):
     assert e.catalog.manifest(str(project), "HEAD").generation == 3
 
 
+def test_indexes_do_not_answer_for_each_other(spark, tmp_path):
+    for name, text in (("one", "zebra stripes zebra"), ("two", "harbour quay")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.py").write_text(f"def f():\n    return '{text}'\n")
+    e = engine(spark, tmp_path)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    for project, ref in ((one, "HEAD"), (two, "HEAD"), (two, "dev")):
+        assert e.index(project, ref).chunks == 1
+    assert e.search(two, "zebra", mode="lexical") == [] and e.search(two, "zebra", ref="dev", mode="lexical") == []
+    (hit,) = e.search(one, "zebra", mode="lexical")
+    assert "zebra" in hit["text"]
+    # statistics are over all three indexes: one of three chunks holds the word twice, among its seven tokens, symbol included
+    n, mean = e.catalog.totals()
+    assert (n, mean) == (3, 6 + 1 / 3)
+    import math
+
+    assert hit["score"] == pytest.approx(math.log((3 - 1 + 0.5) / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 7 / mean)))
+
+
+def test_readers_keep_the_generation_they_began_with(spark, project, tmp_path):
+    e = engine(spark, tmp_path)
+    e.index(str(project))
+    begun = e.catalog.read("chunks", str(project), "HEAD")
+    e.index(str(project), force=True)
+    assert begun.count() == 3
+    e.index(str(project), force=True)
+    key = catalog.index_key(str(project), "HEAD")
+    assert e.catalog.files.names(e.catalog.files.at(key)) == ["gen=2", "gen=3"]
+
+
+def test_a_failed_rebuild_leaves_the_index(spark, project, tmp_path):
+    e = engine(spark, tmp_path)
+    e.index(str(project))
+
+    class Broken(HashEmbedder):
+        def embed_documents(self, texts):
+            raise RuntimeError("no model")
+
+    broken = SearchEngine(spark, e.settings, embedder=Broken(8))
+    with pytest.raises(Exception, match="no model"):
+        broken.index(str(project), force=True)
+    assert e.status(str(project))["chunks"] == 3 and e.search(str(project), "acquire_lock", mode="lexical")
+
+
+def test_builds_of_one_index_are_serialised(spark, project, tmp_path):
+    e = engine(spark, tmp_path)
+    threads = [threading.Thread(target=e.index, args=(str(project),), kwargs={"force": True}) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert e.catalog.manifest(str(project), "HEAD").generation == 3 and e.status(str(project))["chunks"] == 3
+
+
 def test_another_embedder_rebuilds_and_auto_index_can_be_off(spark, project, tmp_path):
     engine(spark, tmp_path).index(str(project))
     other = engine(spark, tmp_path, dim=16)

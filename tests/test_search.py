@@ -15,6 +15,21 @@ def chunks(spark, rows):
     return spark.createDataFrame([(n, "p", "HEAD", f"f{n}.py", 1, 2, s, t) for n, (s, t) in enumerate(rows)], CHUNKS)
 
 
+def stored(df, asked, key="k"):
+    postings = lexical.build_postings(df.withColumn("index_key", F.lit(key)), ("index_key", "chunk_pos"))
+    stats = lexical.doc_stats(df)
+    totals = stats.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
+    return lexical.bm25(postings, stats, asked, tuple(totals), key)
+
+
+def test_more_terms_than_a_set_takes_give_the_same(spark, monkeypatch):
+    df = chunks(spark, [("a", "lock the lock of a"), (None, "acquire_lock acquire"), ("x", ""), ("lock", "b")])
+    asked = spark.createDataFrame([(0, "acquire_lock"), (1, "the lock")], "query_id int, query string")
+    one = [tuple(r) for r in lexical.search(df, asked, 5).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(lexical, "TERM_SET", 1)
+    assert one and [tuple(r) for r in lexical.search(df, asked, 5).orderBy("query_id", "rank").collect()] == one
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bm25_equals_sqlite(spark, seed):
     rng = random.Random(seed)
@@ -26,7 +41,7 @@ def test_bm25_equals_sqlite(spark, seed):
     db.executemany("INSERT INTO t(rowid, text, symbol) VALUES (?, ?, ?)", [(n + 1, t, s or "") for n, (s, t) in enumerate(rows)])
     df = chunks(spark, rows)
     asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    got = {(r.query_id, r.chunk_pos): r.score for r in lexical.bm25(lexical.build_postings(df), lexical.doc_stats(df), asked).collect()}
+    got = {(r.query_id, r.chunk_pos): r.score for r in stored(df, asked).collect()}
     want = {}
     from lakelens.functions import text as T
 
@@ -135,3 +150,30 @@ def test_retry():
     with pytest.raises(OSError):
         embedding.with_retry(lambda: (_ for _ in ()).throw(OSError()), sleep=waits.append)
     assert waits[2:] == [2.0, 4.0, 8.0, 16.0, 32.0]
+
+
+def test_hosted_embedder_speaks_the_public_interface():
+    import json
+
+    from lakelens.config import Settings
+
+    sent = []
+
+    def post(url, headers, body):
+        sent.append((url, headers, json.loads(body)))
+        return json.dumps({"embeddings": [{"values": [0.5, 1]} for _ in sent[-1][2]["requests"]]}).encode()
+
+    model = embedding.HostedEmbedder(embedding.GoogleTransport("key", "m1", 2, post), 2)
+    assert model.embed_documents(["a", "b"]) == [[0.5, 1], [0.5, 1]] and model.embed_documents([]) == [] and model.embed_query("q") == [0.5, 1]
+    assert sent[0][0].endswith("/models/m1:batchEmbedContents") and sent[0][1]["x-goog-api-key"] == "key"
+    assert [r["taskType"] for r in sent[0][2]["requests"]] == ["RETRIEVAL_DOCUMENT"] * 2 and sent[-1][2]["requests"][0]["taskType"] == "RETRIEVAL_QUERY"
+    with pytest.raises(ValueError, match="gemini_api_key"):
+        embedding.make_embedder(Settings(embedder="gemini"))
+    assert embedding.make_embedder(Settings(embedder="gemini", gemini_api_key="k", embed_dim=7)).dim == 7
+
+
+def test_benchmark_model_takes_texts_and_titled_entries():
+    model = embedding.BenchmarkModel(embedding.HashEmbedder(4))
+    plain = embedding.HashEmbedder(4)
+    assert model.encode_queries(["q", "r"]) == [plain.embed_query("q"), plain.embed_query("r")]
+    assert model.encode_corpus([{"title": "t", "text": "x"}, "y", {"text": "z"}], batch_size=2) == [plain.embed_query(t) for t in ("t\nx", "y", "z")]
