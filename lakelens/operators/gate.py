@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _RULE = "struct<id:string,defaultConfiguration:struct<level:string>>"
 _REPORT = f"struct<runs:array<struct<tool:struct<driver:struct<rules:array<{_RULE}>>>,results:array<struct<ruleId:string,level:string>>>>>"
 _POLICY = "struct<block_on:array<string>,warn_on:array<string>,max_findings:int>"
-LOG = "id long, ts timestamp, project_id string, sha string, state string, blocking int, warnings int, total int, reasons array<string>"
+LOG = "id long, ts timestamp, project_id string, sha string, state string, blocking int, warnings int, total int, reasons array<string>, batch string"
 
 
 @dataclass(frozen=True)
@@ -102,12 +102,15 @@ def decide(reports: DataFrame, policy: Policy | None = None) -> DataFrame:
     return counted.withColumn("reasons", reasons).withColumn("state", F.when(F.size("reasons") > 0, "failed").otherwise("success")).drop("_levels", "_block", "_most")
 
 
-def append_decisions(decisions: DataFrame, path: str) -> None:
+def append_decisions(decisions: DataFrame, path: str, batch: str | None = None) -> None:
     """Append decisions (project_id, sha, state, …) to the log; ids go on from the greatest one.
 
-    One writer at a time; the ids are numbered per partition from a count of each, so nothing is gathered.
+    One writer at a time; the ids are numbered per partition from a count of each, so nothing is gathered. A ``batch`` that
+    the log holds already is not written again: its rows came with one commit, all or none.
     """
     spark = decisions.sparkSession
+    if batch is not None and not read_log(spark, path).where(F.col("batch") == batch).isEmpty():
+        return
     last = read_log(spark, path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     numbered = decisions.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
     numbered = numbered.withColumn("ts", F.date_trunc("second", F.current_timestamp())).persist()
@@ -118,7 +121,7 @@ def append_decisions(decisions: DataFrame, path: str) -> None:
     if offsets:
         base = F.create_map(*(F.lit(x) for part, at in offsets.items() for x in (part, at)))
         ids = (F.pmod("_n", F.lit(1 << 33)) + 1 + base[F.col("_part")]).alias("id")
-        row = numbered.select(ids, "ts", "project_id", "sha", "state", "blocking", "warnings", "total", "reasons")
+        row = numbered.select(ids, "ts", "project_id", "sha", "state", "blocking", "warnings", "total", "reasons", F.lit(batch).cast("string").alias("batch"))
         row.write.mode("append").parquet(path)
     numbered.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hmac
 import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ class Service:
     def tools(self) -> dict:
         """Functions for an agent's tool list."""
         return {
-            "semantic_code_search": lambda project_id, query, ref="HEAD", max_results=5: format_results(query, self.engine.search(project_id, query, ref, max_results)),
+            "semantic_code_search": lambda project_id, query, ref="HEAD", max_results=5, mode="auto": format_results(query, self.engine.search(project_id, query, ref, max_results, mode)),
             "get_symbol": lambda project_id, symbol, ref="HEAD": format_results(symbol, self.engine.search(project_id, symbol, ref, 5, "lexical")),
             "index": lambda project_id, ref="HEAD", force=False: self.index(project_id, ref, force),
             "status": lambda project_id, ref="HEAD": self.engine.status(project_id, ref),
@@ -82,11 +83,16 @@ class Service:
 
         class Handler(BaseHTTPRequestHandler):
             def _answer(self) -> None:
+                page = static_file(urlsplit(self.path).path) if self.command == "GET" and service.allowed(self.path, self.headers.get("X-API-Key")) else None
+                if page:
+                    return self._send(200, *page)
                 size = int(self.headers.get("Content-Length") or 0)
                 status, value = service.handle(self.command, self.path, self.rfile.read(size), self.headers.get("X-API-Key"))
-                data = json.dumps(value, default=str).encode()
+                self._send(status, "application/json", json.dumps(value, default=str).encode())
+
+            def _send(self, status: int, kind: str, data: bytes) -> None:
                 self.send_response(status)
-                self.send_header("Content-Type", "application/json")
+                self.send_header("Content-Type", kind)
                 self.send_header("Content-Length", str(len(data)))
                 self.end_headers()
                 self.wfile.write(data)
@@ -96,6 +102,19 @@ class Service:
         ThreadingHTTPServer((self.engine.settings.host, self.engine.settings.port), Handler).serve_forever()
 
 
+STATIC = Path(__file__).resolve().parent / "static"
+_KINDS = {".html": "text/html; charset=utf-8", ".css": "text/css", ".js": "text/javascript"}
+
+
+def static_file(path: str) -> tuple[str, bytes] | None:
+    """(content type, content) of the dashboard page and of files below ``/static/``; None for any other path."""
+    name = "dashboard.html" if path == "/dashboard" else path.removeprefix("/static/") if path.startswith("/static/") else ""
+    file = (STATIC / name).resolve()
+    if not name or not file.is_relative_to(STATIC) or not file.is_file():
+        return None
+    return _KINDS.get(file.suffix, "application/octet-stream"), file.read_bytes()
+
+
 def decide_one(spark, sarif: str, policy: gate.Policy) -> dict:
     """The decision on one report; a report that is not JSON is refused."""
     row = gate.decide(spark.createDataFrame([(sarif,)], "sarif string"), policy).select("state", "blocking", "warnings", "total", F.col("reasons")).first()

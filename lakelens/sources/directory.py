@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.config import Settings
 from lakelens.functions import text as T
+from lakelens.sources.files import SharedFiles
 
 # fixed values: folders never worth indexing
 EXCLUDED = (
@@ -28,9 +27,9 @@ def read_tree(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
 
     Folder, suffix and size filters apply before contents are decoded.
     """
-    base = Path(root).resolve().as_posix()
+    base = SharedFiles(spark, root).root
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    relative = F.expr(f"substring(path, {len('file:' + base) + 2})")
+    relative = F.expr(f"substring(path, {len(base.rstrip('/')) + 2})")
     slim = raw.select(relative.alias("path"), "length", "content")
     return wanted(slim, settings).select("path", T.normalise_newlines(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
 

@@ -169,7 +169,7 @@ def test_fetch_rules(tmp_path):
                 fetch.clone_url(s, bad)
     free = Settings(fetch_allow_hosts="*", gitlab_token="tok")
     assert fetch.clone_url(free, "http://h.example/x") == "http://h.example/x"
-    with pytest.raises(ValueError, match="local"):
+    with pytest.raises(ValueError, match="local folders"):
         fetch.fetch_repo(Settings(allow_local_path=False), str(tmp_path), "HEAD")
     ran = []
 
@@ -245,3 +245,26 @@ def test_catalog_helpers(spark):
     old = spark.createDataFrame([("p", "c1", None), ("q", "c2", "s")], "k string, commit string, sig string")
     new = spark.createDataFrame([("p", None, "s1"), ("r", "c3", None)], "k string, commit string, sig string")
     assert sorted(map(tuple, catalog.merge_columns(old, new, ["k"]).collect()), key=repr) == [("p", "c1", "s1"), ("q", "c2", "s"), ("r", "c3", None)]
+
+
+def test_addresses_and_refs(tmp_path):
+    s = Settings(gitlab_token="tok", repo_cache=str(tmp_path / "c"))
+    assert fetch.Remote.of(s, "git@Host.example:a/b.git") == fetch.Remote("git@Host.example:a/b.git", "ssh", "host.example")
+    assert fetch.host_of("https://U@H.example:8/x") == "h.example" and fetch.host_of("group/repo") is None
+    assert [fetch._ref(r) for r in ("HEAD", "default", "", "dev")] == [{}, {}, {}, {"ref": "dev"}]
+
+    def failing(command, **_):
+        return subprocess.CompletedProcess(command, 1, "", "no access with oauth2:tok@gitlab.com")
+
+    with pytest.raises(RuntimeError) as problem:
+        fetch.fetch_repo(s, "group/repo", "HEAD", run=failing)
+    assert "tok@" not in str(problem.value)
+
+    def broken(url, params, headers):
+        return (200, {}, b'[{"type": "blob", "path": "a.py"}, {"type": "blob", "path": "../../x.py"}]') if url.endswith("/tree") else (200, {}, b"x")
+
+    root = fetch.fetch_repo(Settings(fetch="rest", repo_cache=str(tmp_path / "d")), "group/repo", "dev", get=broken)
+    assert [p.name for p in root.rglob("*.py")] == ["a.py"] and not list(tmp_path.rglob("x.py"))
+    with pytest.raises(RuntimeError):
+        fetch.fetch_repo(Settings(fetch="rest", repo_cache=str(tmp_path / "e")), "group/repo", "dev", get=lambda *a: (500, {}, b""))
+    assert not [p for p in (tmp_path / "e").iterdir() if not p.name.endswith(".partial")]
