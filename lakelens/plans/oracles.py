@@ -364,10 +364,15 @@ UNION ALL SELECT 'location', request_id || '/' || run_no || '/' || result_no ||
 _PHRASES = "SELECT * FROM (VALUES (1, 'anchor_token'), (2, 'the index_span of __init__'), (3, 'refresh_token nested_volume')) AS t(query_id, query)"
 _SYMBOLS = "SELECT * FROM (VALUES (1, 'InnerSpan'), (2, 'pad_loose_lathe'), (3, 'demoteOrphanStream')) AS t(query_id, query)"
 
+WINDOW_CHUNKS = LINE_WINDOWS.replace("SELECT doc_id, string_split", "SELECT source AS project_id, coalesce(path, 'doc/' || doc_id || '.txt') AS path, string_split").replace(
+    "WHERE text <> ''", "WHERE text <> '' AND NOT coalesce(path, '') LIKE '%.py'"
+).replace("doc_id", "project_id, path").replace("|| project_id, path ||", "|| doc_id ||")
+HASH_EMBED_NORMS = "SELECT sha1(text) AS sha, 64::BIGINT AS size, 1.0::DOUBLE AS norm, 1::BIGINT AS vectors, count(*) AS texts FROM chunks WHERE text IS NOT NULL GROUP BY text"
+REST_SOURCE = "SELECT 'pkg/m' || i || '.py' AS path, 'def f():' || chr(10) || '    return 1' || chr(10) AS text FROM range(1, 3) AS r(i)"
 _FILTERED = _search(ITEMS, 10, "project_id = 'meridian/atlas-core' AND ref = 'HEAD'")
 
 ORACLES = {
-    "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p4_rules": P4_RULES, "p4_links": P4_LINKS, "line_windows": LINE_WINDOWS, "content_sha": CONTENT_SHA, "file_filter": FILE_FILTER,
+    "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_results": P4_RESULTS, "p4_rules": P4_RULES, "p4_links": P4_LINKS, "line_windows": LINE_WINDOWS, "window_chunks": WINDOW_CHUNKS, "hash_embed_norms": HASH_EMBED_NORMS, "rest_source": REST_SOURCE, "content_sha": CONTENT_SHA, "file_filter": FILE_FILTER,
     "url_hosts": URL_HOSTS, "host_allowlist": HOST_ALLOWLIST, "snapshot_paths": SNAPSHOT_PATHS, "apply_diff_counts": APPLY_DIFF_COUNTS,
     "file_sha_upsert": FILE_SHA_UPSERT, "meta_upsert": META_UPSERT, "chunk_counts_by_key": CHUNK_COUNTS, "index_status": INDEX_STATUS,
     "validate_queries": VALIDATE_QUERIES, "select_mode": SELECT_MODE, "query_terms": QUERY_TERMS, "token_stats": TOKEN_STATS, "fence_length": FENCE_LENGTH,

@@ -57,6 +57,12 @@ def syntax_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_files(_files(spark, folder))
 
 
+def window_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the files that no parser takes: the fall-back to line windows."""
+    cut = chunking.chunk_files(_files(spark, folder).where(~F.endswith("path", F.lit(".py")))).where("error IS NULL")
+    return cut.select("project_id", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "text")
+
+
 def content_sha(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "documents").select("doc_id", T.content_sha(F.col("text")).alias("sha"))
 
@@ -352,13 +358,21 @@ def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
     return load_spread(spark, folder, "chunks").select("chunk_pos", made.alias("vector"))
 
 
+def hash_embed_norms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text has a vector of the wanted length and unit norm, equal texts have equal ones."""
+    made = hash_embed(spark, folder).join(load(spark, folder, "chunks").select("chunk_pos", "text"), "chunk_pos").where("text IS NOT NULL")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    per = made.select(F.sha1("text").alias("sha"), F.size("vector").alias("size"), F.round(norm, 4).alias("norm"), F.xxhash64("vector").alias("h"))
+    return per.groupBy("sha").agg(F.max("size").cast("long").alias("size"), F.max("norm").alias("norm"), F.countDistinct("h").alias("vectors"), F.count(F.lit(1)).alias("texts"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p4_found, p4_results, p4_rules, p4_links, line_windows, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
+        p1_found, p4_found, p4_results, p4_rules, p4_links, line_windows, window_chunks, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
         apply_diff_counts, file_sha_upsert, meta_upsert, chunk_counts_by_key, index_status, validate_queries, select_mode, query_terms, token_stats,
         fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, stored_search, lexical_like, symbol_lookup, cosine_topk,
         cosine_topk_filtered, cosine_batch_topk, hybrid_search, rrf_fuse, rerank_head, overfetch_arms, ndcg_at_10, found_precision, sarif_levels,
-        gate_decisions, gate_max_findings, gate_policy_override, dashboard_recent, dashboard_totals, hash_embed,
+        gate_decisions, gate_max_findings, gate_policy_override, dashboard_recent, dashboard_totals, hash_embed, hash_embed_norms,
     )
 }
