@@ -150,6 +150,27 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None =
     return top_chunks(scores, chunks, k)
 
 
+#: Weight of a plain word, sum of 1 / n² to infinity, and places of a word that count, as full-text ranks of databases have them.
+RANK_WEIGHT, RANK_NORM, RANK_PLACES = 0.1, 1.64493406685, 255
+
+
+def text_rank(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best chunks by full-text rank of the text alone: any of a query's words will do, more and repeated ones count more.
+
+    A word that stands f times adds weight * (1 + 1/4 + … + 1/f²) / norm, divided by the number of the query's distinct
+    words. No statistics of the collection enter. Columns as :func:`top_chunks`; a query without words has no rows.
+    """
+    words = F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)), F.lower))
+    terms = queries.select("query_id", F.explode(words).alias("term")).select("query_id", F.array_join(T.tokens(F.col("term")), " ").alias("phrase"))
+    phrases = stage_table(terms.where("phrase <> ''").distinct().withColumn("times", F.lit(1)), "rank-phrases")
+    asked = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
+    counts = scanned_counts(scan(chunks.withColumn("symbol", F.lit(None).cast("string")), phrases), phrases)
+    places = F.sequence(F.lit(1), F.least(F.col("f"), F.lit(RANK_PLACES)).cast("int"))
+    part = F.aggregate(places, F.lit(0.0), lambda s, n: s + 1.0 / (n.cast("double") * n)) * RANK_WEIGHT / RANK_NORM
+    scores = counts.select("phrase", "chunk_pos", part.alias("part")).join(phrases, "phrase").groupBy("query_id", "chunk_pos").agg(F.sum("part").alias("s"))
+    return top_chunks(scores.join(asked, "query_id").select("query_id", "chunk_pos", (F.col("s") / F.col("asked")).alias("score")), chunks, k)
+
+
 def like_search(chunks: DataFrame, queries: DataFrame, k: int, block: int = 500) -> DataFrame:
     """Fall-back without an index: chunks whose lower-cased text holds a query's first term, score 1; ``_`` matches any character.
 

@@ -243,6 +243,19 @@ SELECT query_id, chunk_pos, 1.0::DOUBLE AS score, row_number() OVER (PARTITION B
 FROM q JOIN chunks ON lower(text) LIKE '%' || term || '%' QUALIFY rank < 10
 """
 
+TEXT_RANK = f"""
+WITH q AS (SELECT DISTINCT query_id, array_to_string({_tokens("term")}, ' ') AS phrase
+  FROM (SELECT item_id AS query_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+'), lambda t: lower(t)))) AS term FROM bench_items)),
+phrases AS (SELECT query_id, phrase, count(*) OVER (PARTITION BY query_id) AS asked FROM q WHERE phrase <> ''),
+parts AS (SELECT phrase, n, unnest(w) AS term, generate_subscripts(w, 1) AS part FROM (SELECT DISTINCT phrase, string_split(phrase, ' ') AS w, len(string_split(phrase, ' ')) AS n FROM phrases)),
+pos AS (SELECT chunk_pos, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM (SELECT chunk_pos, {_tokens("text")} AS w FROM chunks)),
+counts AS (SELECT phrase, chunk_pos, count(*) AS f FROM (
+  SELECT phrase, n, chunk_pos, place - part AS start FROM pos JOIN parts USING (term) GROUP BY ALL HAVING count(*) = n) GROUP BY ALL),
+scored AS (SELECT query_id, chunk_pos, round(sum(list_sum(list_transform(range(1, least(f, 255) + 1), lambda n: 1.0::DOUBLE / (n * n))) * 0.1::DOUBLE / 1.64493406685::DOUBLE) / any_value(asked), 6) AS score
+  FROM counts JOIN phrases USING (phrase) GROUP BY query_id, chunk_pos),
+{_ranked(10)} SELECT query_id::BIGINT AS query_id, chunk_pos, score, rank FROM ranked
+"""
+
 _COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 COSINE_TOPK = f"SELECT e.vec_id AS id, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 10"
 COSINE_FILTERED = f"SELECT e.vec_id AS id, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY score DESC, id LIMIT 10"
@@ -377,7 +390,7 @@ ORACLES = {
     "file_sha_upsert": FILE_SHA_UPSERT, "meta_upsert": META_UPSERT, "chunk_counts_by_key": CHUNK_COUNTS, "index_status": INDEX_STATUS,
     "validate_queries": VALIDATE_QUERIES, "select_mode": SELECT_MODE, "query_terms": QUERY_TERMS, "token_stats": TOKEN_STATS, "fence_length": FENCE_LENGTH,
     "render_snippet": RENDER_SNIPPET, "lexical_batch_topk": _search(ITEMS, 10), "lexical_phrase": _search(_PHRASES, 10),
-    "lexical_filtered": _FILTERED, "stored_search": _FILTERED, "lexical_like": LEXICAL_LIKE, "symbol_lookup": _search(_SYMBOLS, 5),
+    "lexical_filtered": _FILTERED, "stored_search": _FILTERED, "lexical_like": LEXICAL_LIKE, "lexical_text_rank": TEXT_RANK, "symbol_lookup": _search(_SYMBOLS, 5),
     "cosine_topk": COSINE_TOPK, "cosine_topk_filtered": COSINE_FILTERED, "cosine_batch_topk": COSINE_BATCH, "hybrid_search": HYBRID_SEARCH, "rrf_fuse": RRF_FUSE,
     "rerank_head": RERANK_HEAD, "overfetch_arms": OVERFETCH_ARMS, "ndcg_at_10": NDCG_AT_10, "found_precision": FOUND_PRECISION, "sarif_levels": SARIF_LEVELS,
     "gate_decisions": GATE_DECISIONS, "gate_max_findings": GATE_MAX, "gate_policy_override": GATE_OVERRIDE, "dashboard_recent": DASHBOARD_RECENT,

@@ -236,6 +236,11 @@ def stored_search(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(lexical.top_chunks(given, mine.drop("chunk_pos").withColumnRenamed("given", "chunk_pos"), K))
 
 
+def lexical_text_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Full-text rank by the presence of words, as a served database ranks."""
+    return _flat(lexical.text_rank(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K))
+
+
 def lexical_like(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(lexical.like_search(load_spread(spark, folder, "chunks"), _items(spark, folder).select("query_id", "query"), K))
 
@@ -371,7 +376,7 @@ QUERIES = {
     for f in (
         p1_found, p4_found, p4_results, p4_rules, p4_links, line_windows, window_chunks, syntax_chunks, content_sha, file_filter, url_hosts, host_allowlist, rest_source, snapshot_paths,
         apply_diff_counts, file_sha_upsert, meta_upsert, chunk_counts_by_key, index_status, validate_queries, select_mode, query_terms, token_stats,
-        fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, stored_search, lexical_like, symbol_lookup, cosine_topk,
+        fence_length, render_snippet, lexical_batch_topk, lexical_phrase, lexical_filtered, stored_search, lexical_text_rank, lexical_like, symbol_lookup, cosine_topk,
         cosine_topk_filtered, cosine_batch_topk, hybrid_search, rrf_fuse, rerank_head, overfetch_arms, ndcg_at_10, found_precision, sarif_levels,
         gate_decisions, gate_max_findings, gate_policy_override, dashboard_recent, dashboard_totals, hash_embed, hash_embed_norms,
     )

@@ -177,3 +177,13 @@ def test_benchmark_model_takes_texts_and_titled_entries():
     plain = embedding.HashEmbedder(4)
     assert model.encode_queries(["q", "r"]) == [plain.embed_query("q"), plain.embed_query("r")]
     assert model.encode_corpus([{"title": "t", "text": "x"}, "y", {"text": "z"}], batch_size=2) == [plain.embed_query(t) for t in ("t\nx", "y", "z")]
+
+
+def test_text_rank_counts_presence_and_repeats(spark):
+    df = chunks(spark, [("lock", "redis lock lock"), (None, "redis only"), ("redis", "nothing here"), (None, None), (None, "lock " * 400)])
+    asked = spark.createDataFrame([(0, "Lock the redis"), (1, "!!!"), (2, "")], "query_id int, query string")
+    got = {r.chunk_pos: r.score for r in lexical.text_rank(df, asked, 5).collect()}
+    one = 0.1 / 1.64493406685
+    many = one * sum(1 / n**2 for n in range(1, 256))
+    assert got == pytest.approx({0: (one * 1.25 + one) / 3, 1: one / 3, 4: many / 3}, abs=1e-6)
+    assert lexical.text_rank(df.limit(0), asked, 5).count() == 0
