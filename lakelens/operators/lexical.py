@@ -77,10 +77,11 @@ def scan(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def scanned_counts(scanned: DataFrame, phrases: DataFrame) -> DataFrame:
     """Phrase counts of scanned chunks: only occurrences of the phrases' terms are ever rows."""
-    hits = scanned.select("chunk_pos", F.explode("hits").alias("h")).select("chunk_pos", "h.*").join(_parts(phrases), "term")
-    single = hits.where("n = 1").groupBy("phrase", "chunk_pos").agg(F.count(F.lit(1)).alias("f"))
-    starts = hits.where("n > 1").select("phrase", "n", "chunk_pos", "field", (F.col("pos") - F.col("part")).alias("at"))
-    return single.unionByName(_whole(starts, ("chunk_pos",)))
+    key = ("chunk_pos", "n_tokens")  # a chunk's size goes along, so that it need not be joined
+    hits = scanned.select(*key, F.explode("hits").alias("h")).select(*key, "h.*").join(_parts(phrases), "term")
+    single = hits.where("n = 1").groupBy("phrase", *key).agg(F.count(F.lit(1)).alias("f"))
+    starts = hits.where("n > 1").select("phrase", "n", *key, "field", (F.col("pos") - F.col("part")).alias("at"))
+    return single.unionByName(_whole(starts, key))
 
 
 def _weight(total: Column, holding: Column) -> Column:
@@ -95,14 +96,19 @@ def _part(mean: Column) -> Column:
 
 
 def score(counts: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(query_id, chunk_pos, score): BM25 over all rows of ``stats``, higher is better; chunks without any phrase are absent."""
+    """(query_id, chunk_pos, score): BM25 over all rows of ``stats``, higher is better; chunks without any phrase are absent.
+
+    counts: phrase, chunk_pos, n_tokens, f.
+    """
     totals = stats.agg(F.count(F.lit(1)).cast("double").alias("total"), F.avg("n_tokens").alias("mean"))
     weights = counts.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("holding")).crossJoin(F.broadcast(totals))
     weights = weights.select("phrase", "mean", _weight(F.col("total"), F.col("holding")).alias("idf"))
+    few = phrases.limit(10 * TERM_SET + 1).count() <= 10 * TERM_SET
+    sent = F.broadcast if few else lambda df: df
     # by chunk from here on: the sums per query and chunk need no further shuffle; the number is given because few
     # counts become many rows once they meet the queries
-    scored = counts.join(weights, "phrase").repartition(shuffle_partitions(counts.sparkSession), "chunk_pos").join(stats, "chunk_pos")
-    parts = scored.select("phrase", "chunk_pos", _part(F.col("mean")).alias("part")).join(phrases, "phrase")
+    scored = counts.repartition(shuffle_partitions(counts.sparkSession), "chunk_pos").join(sent(weights), "phrase")
+    parts = scored.select("phrase", "chunk_pos", _part(F.col("mean")).alias("part")).join(sent(phrases), "phrase")
     return parts.groupBy("query_id", "chunk_pos").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
