@@ -83,7 +83,8 @@ def cut_inside(line: str, limit: int, overlap: int, room: int) -> list[tuple[int
         spans.append((start, end))
         if end >= size:
             return spans
-        start = max(start + 1, end - overlap)
+        # a first span cut short by shared lines is shared whole where it is no longer than the overlap: the next holds more
+        start = max(start if len(spans) == 1 and room < limit else start + 1, end - overlap)
 
 
 def split(text: str, limit: int = LIMIT, least: int = LEAST, overlap_lines: int = OVERLAP_LINES, overlap_chars: int = OVERLAP_CHARS) -> list[Piece]:

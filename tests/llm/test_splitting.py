@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,6 +36,15 @@ def test_pieces_fit_and_lose_nothing(text, limit):
             assert full
 
 
+@pytest.mark.parametrize(("before", "shared"), [(1_599, 1), (1_590, 10), (1_570, 30), (1_500, 40)])
+def test_a_short_first_part_of_a_long_line_is_shared(before, shared):
+    text = "a" * (before - 1) + "\na\n" + "b" * 5_000
+    pieces = S.split(text)
+    assert rebuilt(text, pieces) == text and all(S.dense_length(text[p.start : p.end]) <= 1_600 for p in pieces)
+    inside = [p for p in pieces if p.first == 2]
+    assert [p.shared_chars for p in inside] == [shared] + [40] * (len(inside) - 1)
+
+
 def test_long_lines_share_forty_characters():
     text = "a\nb\n" + " ".join(["word"] * 1200) + "\nc\nd"
     pieces = S.split(text)
